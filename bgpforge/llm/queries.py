@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, embedding_dedup, minhash_dedup, mixing, neighbours, packing, tables, token_counts, tokens
+from . import common, embedding_dedup, minhash_dedup, mixing, neighbours, packing, quality, tables, token_counts, tokens, toxicity
 
 END_OF_DOCUMENT = 2
 
@@ -44,6 +44,14 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokens.default_path())
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_minhash_dedup": op2_minhash_dedup,
@@ -52,6 +60,8 @@ QUERIES = {
     "op5_token_tables": op5_token_tables,
     "op7_mixing": op7_mixing,
     "op8_packing": op8_packing,
+    "op9_toxicity": op9_toxicity,
+    "op10_quality": op10_quality,
 }
 
 SQL: dict[str, str] = {}
