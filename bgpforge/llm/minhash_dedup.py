@@ -201,3 +201,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     by_set = classes.join(groups, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
     out = rows.join(by_set, ["h1", "h2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, all columns, with one document of each group (see `near_duplicates`): that of the smallest doc_id.
+
+    Of rows that repeat a doc_id one stays; rows without doc_id all stay.
+    """
+    groups = common.written(near_duplicates(docs.select("doc_id", "text"), width, percent), "groups")
+    ids = F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")
+    out = docs.join(groups.where("not kept").select(ids).distinct(), "doc_id", "left_anti").select(*docs.columns)
+    twice = groups.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select(ids)
+    if twice.isEmpty():
+        return out
+    return out.join(twice, "doc_id", "left_anti").select(*docs.columns).unionAll(out.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))

@@ -45,7 +45,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, epochs:
     documents by it and ends when the budget, share x all words, is served, which is at time 1: the document being
     served then is cut. So each source gives its target, rounded down to a word.
 
-    Returns a row (doc_id, source, size, source_size, target, taken, virtual_finish) for each row of docs (doc_id,
+    Returns a row (doc_id, source, size, source_size, target, taken, ticket, virtual_finish) for each row of docs (doc_id,
     text, source), in order of virtual_finish (of the first time) if ordered. A null text has size 0 and takes 0 words;
     a null source is a source of its own, last; rows without doc_id, repeated rows and ties of the shuffle are
     ordered by size, and rows equal in both are alike. Empty tables give no rows. Prefix sums go through buckets of the shuffled order, so
@@ -79,6 +79,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, epochs:
         "source_size",
         "target",
         taken.cast("long").alias("taken"),
+        "ticket",
         F.when(F.col("target") > 0, (F.col("start") + F.col("size")) / F.col("target")).otherwise(F.lit(0.0)).alias("virtual_finish"),
     )
     if not ordered:
@@ -86,3 +87,21 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, epochs:
     out = common.written(out, "mix")
     common.drop(buckets)
     return out.repartitionByRange("virtual_finish", "doc_id").sortWithinPartitions("virtual_finish", "doc_id")
+
+
+def repeat(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
+    """The mix of whole documents: the rows of docs, all columns, each as often as the mix takes it, 0 to `epochs` times.
+
+    A document that `mix` cuts is taken whole if at least half of it is in. As a source is served in shuffled order, a
+    ticket for each source and epoch tells where it ends, and docs meet only these; rows that repeat a doc_id share its ticket and are
+    taken alike. Documents of size 0 weigh nothing and stay once.
+    """
+    served = mix(docs.select("doc_id", "text", "source"), weights, share, epochs, seed, ordered=False).where("size > 0")
+    times = F.floor(F.col("taken") / F.col("size") + 0.5)
+    cuts = common.written(served.groupBy("source").agg(*[F.max(F.when(times > e, F.col("ticket"))).alias(f"cut{e}") for e in range(epochs)]).withColumnRenamed("source", "of"), "cuts")
+    text, source = F.coalesce(F.col("d.text").cast("string"), F.lit("")), F.col("d.source").cast("string")
+    own = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("d.doc_id").cast("long").cast("string"), F.lit(""))))
+    copies = sum((F.when(own <= F.col(f"c.cut{e}"), 1).otherwise(0) for e in range(epochs)), F.lit(0))
+    copies = F.when(text.rlike(common.WORD), copies).otherwise(1)
+    joined = docs.alias("d").join(cuts.alias("c"), source.eqNullSafe(F.col("c.of")), "left")
+    return joined.select(*[F.col(f"d.{c}") for c in docs.columns], F.explode(F.array_repeat(F.lit(1), copies)).alias("__copy")).select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, embedding_dedup, minhash_dedup, mixing, neighbours, packing, quality, tables, token_counts, tokens, toxicity
+from . import common, embedding_dedup, minhash_dedup, mixing, neighbours, packing, pii, quality, tables, token_counts, tokens, toxicity
 
 END_OF_DOCUMENT = 2
 
@@ -36,8 +36,12 @@ def op5_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_tables(spark, manifest).drop("ids")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(_table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents"))
+    return mixing.mix(_table(spark, sf_dir, "documents")).drop("ticket")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +62,7 @@ QUERIES = {
     "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_token_counts": op4_token_counts,
     "op5_token_tables": op5_token_tables,
+    "op6_pii": op6_pii,
     "op7_mixing": op7_mixing,
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,

@@ -284,3 +284,18 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, t
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(value), pa.array((value >= threshold).astype("i4"))], names=["doc_id", "held_out", "score", "predicted"])
 
     return docs.withColumn("held_out", labelled.held_out(MODULUS, REMAINDER)).mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def reject(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns, whose text is not predicted toxic (see `classify`)."""
+    letters, table, shift, slopes, offset = fit(common.documents(docs), labels)
+    table, at, held = table.astype("f4"), docs.columns.index("text"), {}
+
+    def keep(batches):
+        import pyarrow as pa
+
+        machine = held.setdefault("machine", Machine(letters, table, shift))
+        for batch in batches:
+            yield batch.filter(pa.array(labelled.logistic(slopes, offset, machine.worst(batch.column(at).to_pylist())) < threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
