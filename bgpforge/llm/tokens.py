@@ -12,9 +12,11 @@ import re
 import zlib
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Pieces of parts that can be encoded apart as well, as letters never share a token with what follows them, and a lone line feed none with anything.
+_PIECE = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[.,;:!?|*&%$#()\"-]+\n?|\n")
 _ODD = re.compile(r"\s |  | \s")
 #: Entries that a worker remembers; beyond it the table starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 #: Characters of one step: longer texts go through in several steps.
 STEP = 1 << 20
 
@@ -54,14 +56,26 @@ class Encoder:
         return [x.ids for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words) -> None:
+        """Encode what is new, part by part; parts made of pieces only are put together from these."""
         from array import array
 
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
+        known, new = self.known, [w for w in words if w not in self.known]
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
             new = list(words)
-        for w, ids in zip(new, self._encode(new), strict=True):
-            self.known[w] = array("I", ids).tobytes()
+        made, need = [], set()
+        for w in new:
+            pieces = _PIECE.findall(w)
+            if len(pieces) > 1 and sum(map(len, pieces)) == len(w) and "\n\n" not in w:
+                made.append((w, pieces))
+                need.update(pieces)
+            else:
+                need.add(w)
+        todo = [w for w in need if w not in known]
+        for w, ids in zip(todo, self._encode(todo), strict=True):
+            known[w] = array("I", ids).tobytes()
+        for w, pieces in made:
+            known[w] = b"".join([known[x] for x in pieces])
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """For texts of bounded size together (see `by_bytes`)."""
