@@ -2,7 +2,7 @@
 
 A text is cut at blanks that stand alone between two characters which are no white space. No token of the byte-level
 vocabulary spans such a blank (white space only begins a token), and special strings hold none, so the parts can be
-encoded apart. Equal parts are encoded once for each worker, in batches; a bounded table remembers them.
+encoded apart. Equal parts are encoded once for each worker; a bounded table remembers them.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Pieces of parts that can be encoded apart as well, as letters never share a token with what follows them, and a lone line feed none with anything.
@@ -29,12 +30,45 @@ def parts(text: str) -> list[str]:
     return [cut[0], *(" " + x for x in cut[1:])]
 
 
+class _Known(dict):
+    """Ids of parts seen before; a new one is put together from its pieces, or encoded."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model, self.words = model, model.model
+        self.byte = byte_signs()
+
+    def __missing__(self, part: str) -> bytes:
+        pieces = _PIECE.findall(part)
+        if len(pieces) == 1 and len(pieces[0]) == len(part):
+            # One run of letters, or of signs: a single word of the vocabulary's model.
+            out = array("I", [x.id for x in self.words.tokenize("".join([self.byte[b] for b in part.encode()]))]).tobytes() if part[-1:] != "\n" else self._encode(part)
+        elif len(pieces) > 1 and sum(map(len, pieces)) == len(part) and "\n\n" not in part:
+            out = b"".join([self[x] for x in pieces])
+        else:
+            out = self._encode(part)
+        self[part] = out
+        return out
+
+    def _encode(self, part: str) -> bytes:
+        return array("I", self.model.encode_batch_fast([part], add_special_tokens=False)[0].ids).tobytes()
+
+
+def byte_signs() -> list[str]:
+    """The sign that stands for each byte in a byte-level vocabulary: itself where it prints, else the next sign from U+0100."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    out = {b: chr(b) for b in prints}
+    for n, b in enumerate(b for b in range(256) if b not in out):
+        out[b] = chr(0x100 + n)
+    return [out[b] for b in range(256)]
+
+
 class Encoder:
     """Encodes whole texts; `counts` gives lengths only, `ids` little-endian unsigned 32-bit ids."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.path, self.known = path, {}
+        self.path = path
         if path.endswith(".model"):
             import sentencepiece
 
@@ -49,44 +83,21 @@ class Encoder:
             self.model.no_padding()
             pre = json.loads(self.model.to_str()).get("pre_tokenizer") or {}
             self.apart = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and self.model.normalizer is None
+            self.known = _Known(self.model)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         if self.path.endswith(".model"):
             return self.model.encode(texts, num_threads=1)
         return [x.ids for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words) -> None:
-        """Encode what is new, part by part; parts made of pieces only are put together from these."""
-        from array import array
-
-        known, new = self.known, [w for w in words if w not in self.known]
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list(words)
-        made, need = [], set()
-        for w in new:
-            pieces = _PIECE.findall(w)
-            if len(pieces) > 1 and sum(map(len, pieces)) == len(w) and "\n\n" not in w:
-                made.append((w, pieces))
-                need.update(pieces)
-            else:
-                need.add(w)
-        todo = [w for w in need if w not in known]
-        for w, ids in zip(todo, self._encode(todo), strict=True):
-            known[w] = array("I", ids).tobytes()
-        for w, pieces in made:
-            known[w] = b"".join([known[x] for x in pieces])
-
     def ids(self, texts: list[str]) -> list[bytes]:
         """For texts of bounded size together (see `by_bytes`)."""
-        from array import array
-
-        if self.path.endswith(".model") or not self.apart:
+        if not self.can_cut():
             return [array("I", x).tobytes() for x in self._encode(texts)]
-        cut = [parts(x) for x in texts]
-        self._learn({w for x in cut for w in x})
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
         get = self.known.__getitem__
-        return [b"".join(map(get, x)) for x in cut]
+        return [b"".join(map(get, parts(x))) for x in texts]
 
     def counts(self, texts: list[str]) -> list[int]:
         return [len(x) >> 2 for x in self.ids(texts)]
