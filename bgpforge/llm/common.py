@@ -81,14 +81,33 @@ def _contract(batches):
         yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in pairs], pa.int64()), "b": pa.array([r for _, r in pairs], pa.int64())})
 
 
+#: Links that one task contracts at most.
+LINKS = 500_000
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of links (a, b): one row (node, component) for each linked node.
 
-    component is the smallest node reachable. Partitions first contract their own links to stars, then
-    large-star and small-star steps alternate until nothing changes; every step is a shuffle of links, and a hub's
-    rows meet only in joins, whose partitions may be split.
+    component is the smallest node reachable. Partitions first contract their own links to stars. Where these are few
+    enough for one task, a second contraction ends it; else large-star and small-star steps alternate until nothing changes, every step a shuffle of
+    links, and a hub's rows meet only in joins, whose partitions may be split.
     """
     edges = written(links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a != b").mapInArrow(_contract, "a long, b long"), "links")
+    tasks = -(-edges.count() // LINKS)
+    if tasks:
+        after = written(edges.coalesce(tasks).mapInArrow(_contract, "a long, b long"), "links")
+        drop(edges)
+        edges = after
+    if tasks > 1:
+        edges = _settled(edges)
+    roots = edges.select(F.col("b").alias("node")).distinct()
+    out = edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(roots.select("node", F.col("node").alias("component")))
+    out.written_path = edges.written_path
+    return out
+
+
+def _settled(edges: DataFrame) -> DataFrame:
+    """Stars (a, b) around the smallest node of each component."""
     seen = None
     while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -104,11 +123,7 @@ def components(links: DataFrame) -> DataFrame:
         if state == seen or state[0] == 0:
             break
         seen = state
-    stars = edges.groupBy("a").agg(F.min("b").alias("component"))
-    roots = edges.select(F.col("b").alias("node")).distinct()
-    out = stars.select(F.col("a").alias("node"), "component").unionAll(roots.select("node", F.col("node").alias("component")))
-    out.written_path = edges.written_path
-    return out
+    return edges
 
 
 def documents(docs: DataFrame) -> DataFrame:

@@ -1,10 +1,11 @@
 """MinHash near-dedup by a signature-coordinate inverted join.
 
-A document's signature has LANES coordinates. Two sets of similarity s agree in a coordinate with probability s, so
-pairs agreeing in fewer than MATCHES coordinates are left out: at similarity 0.85 a pair misses that with probability 2e-6, at 0.8 with 5e-5,
-and more similar ones hardly ever. A pair with MATCHES agreeing coordinates has its first one among the first LANES - MATCHES + 1
-(the prefix); only those are posted. Long posting lists are skipped instead of multiplied out: their documents are posted again under
-the value of a second agreeing coordinate, and so on, after every list was tried against one document of it.
+A set's signature has COORDINATES coordinates, each of ROWS minima: two sets of similarity s agree in a coordinate with
+probability s^4. Documents are posted under each coordinate-value pair. Pairs that agree in fewer than AGREE coordinates are left out: at
+similarity 0.85 a pair misses that with probability 6e-7, at 0.8 with 6e-5, more similar ones hardly ever. A pair with AGREE = 2 agreeing
+coordinates has its first one among all but the last: that prefix is posted. Candidates of a list must also collide in LANES single minima as often as the
+threshold makes likely, less 4.7 standard deviations (`matches`), and are then confirmed on their full sets. Lists with too many pairs of different groups are skipped, and their
+documents are posted again under the second agreeing coordinate.
 """
 
 from __future__ import annotations
@@ -14,9 +15,13 @@ from pyspark.sql import functions as F
 
 from . import common
 
-LANES, MATCHES = 28, 14
-#: Lists of at most this many documents are compared pair by pair.
+COORDINATES, ROWS, AGREE = 24, 4, 2
+#: Single minima that are compared, seven to a long.
+LANES = 91
+#: A list with at most this many pairs of different groups for each of its documents is compared pair by pair.
 SHORT = 32
+#: Ids of candidates that are sent to every executor; more of them are joined.
+BROADCAST = 1_000_000
 _SEVEN = 0x007F7F7F7F7F7F7F
 _HIGH = 0x0080808080808080
 
@@ -48,24 +53,25 @@ def _salts():
     import numpy as np
 
     draw = np.random.default_rng(20)
-    return draw.integers(1, 2**63, LANES, dtype="u8") | np.uint64(1), draw.integers(0, 2**63, LANES, dtype="u8")
+    n = COORDINATES * ROWS
+    return draw.integers(1, 2**63, n, dtype="u8") | np.uint64(1), draw.integers(0, 2**63, n, dtype="u8")
 
 
 def signature(hashes, salts):
-    """LANES minima of 32-bit hashes of the set."""
+    """COORDINATES x ROWS minima of 32-bit hashes of the set."""
     import numpy as np
 
     odd, add = salts
     low = None
-    for at in range(0, len(hashes), 8192):
-        x = hashes[None, at : at + 8192] ^ add[:, None]
+    for at in range(0, len(hashes), 2048):
+        x = hashes[None, at : at + 2048] ^ add[:, None]
         x = ((x * odd[:, None]) >> np.uint64(32)).min(axis=1)
         low = x if low is None else np.minimum(low, x)
     return low
 
 
 def features(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2: digest of the set, lanes: signature) of every row."""
+    """(doc_id, n_shingles, h1, h2: digest of the set, coordinates: hashed, lanes: single minima's low bytes, seven in a long) of every row."""
 
     def make(batches):
         import numpy as np
@@ -73,21 +79,29 @@ def features(docs: DataFrame, width: int) -> DataFrame:
         import xxhash
 
         salts = _salts()
+        places = np.uint64(8) * np.arange(7, dtype="u8")
         for batch in batches:
-            sizes, digests, lanes = [], [], []
+            sizes, digests, minima = [], [], []
             for text in batch.column(1).to_pylist():
                 found = shingles(text, width)
                 sizes.append(len(found))
                 data = xxhash.xxh3_128_digest(found.tobytes())
                 digests.append((int.from_bytes(data[:8], "little", signed=True), int.from_bytes(data[8:], "little", signed=True)))
-                lanes.append(signature(found, salts).astype("u4").view("i4") if len(found) else np.zeros(LANES, "i4"))
-            flat = np.concatenate(lanes) if lanes else np.zeros(0, "i4")
+                minima.append(signature(found, salts) if len(found) else np.zeros(COORDINATES * ROWS, "u8"))
+            n = len(minima)
+            low = np.array(minima, "u8").reshape(n, COORDINATES * ROWS)
+            mixed = np.broadcast_to(np.arange(COORDINATES, dtype="u8"), (n, COORDINATES)).copy()
+            for k in range(ROWS):
+                mixed = (mixed ^ low[:, k::ROWS]) * np.uint64(0x9E3779B97F4A7C15)
+                mixed ^= mixed >> np.uint64(31)
+            packed = ((low[:, :LANES].reshape(n, LANES // 7, 7) & np.uint64(255)) << places).sum(axis=2, dtype="u8")
+            listed = lambda x, size: pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype="i4") * size), pa.array(np.ascontiguousarray(x).ravel().view("i8")))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array([x for x, _ in digests], pa.int64()), pa.array([x for _, x in digests], pa.int64()), pa.ListArray.from_arrays(np.arange(len(lanes) + 1, dtype="i4") * LANES, pa.array(flat))],
-                names=["doc_id", "n_shingles", "h1", "h2", "lanes"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array([x for x, _ in digests], pa.int64()), pa.array([x for _, x in digests], pa.int64()), listed(mixed, COORDINATES), listed(packed, LANES // 7)],
+                names=["doc_id", "n_shingles", "h1", "h2", "coordinates", "lanes"],
             )
 
-    return common.documents(docs).mapInArrow(make, "doc_id long, n_shingles long, h1 long, h2 long, lanes array<int>")
+    return common.documents(docs).mapInArrow(make, "doc_id long, n_shingles long, h1 long, h2 long, coordinates array<long>, lanes array<long>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -109,13 +123,10 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(make, "doc_id long, h1 long, h2 long, hashes array<long>")
 
 
-def _packed(part: int):
-    """Seven lanes' low bytes in a long."""
-    lane = lambda i: F.shiftleft(F.element_at("lanes", part * 7 + i + 1).bitwiseAND(F.lit(255)).cast("long"), 8 * i)
-    out = lane(0)
-    for i in range(1, 7):
-        out = out.bitwiseOR(lane(i))
-    return out.alias(f"p{part}")
+def matches(percent: int) -> int:
+    """Collisions that a pair of this similarity reaches but for a probability of about 2e-6."""
+    s = percent / 100
+    return int(LANES * s - 4.7 * (LANES * s * (1 - s)) ** 0.5)
 
 
 def _agree(a: str, b: str):
@@ -141,28 +152,31 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     (pairs of different groups alone), long ones under a second agreeing coordinate.
     """
     rows = common.written(features(docs, width), "features")
-    full = rows.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "h1", "h2", "lanes")
+    full = rows.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "h1", "h2", "coordinates", "lanes")
     classes = common.written(full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
     packs = [f"p{i}" for i in range(LANES // 7)]
     nodes = full.join(classes.withColumnRenamed("rep", "doc_id"), ["h1", "h2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "h1", "h2"])
-    nodes = common.written(nodes.select(F.col("doc_id").alias("id"), "h1", "h2", F.col("n_shingles").alias("n"), "lanes", *[_packed(i) for i in range(LANES // 7)]), "nodes")
+    nodes = common.written(nodes.select(F.col("doc_id").alias("id"), "h1", "h2", F.col("n_shingles").alias("n"), "coordinates", *[F.element_at("lanes", i + 1).alias(c) for i, c in enumerate(packs)]), "nodes")
     texts = common.documents(docs)
 
     def confirm(pairs: DataFrame) -> DataFrame:
         """Of the pairs (a, b) of ids those whose full sets are similar enough."""
         pairs = common.written(pairs.distinct(), "pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        if pairs.isEmpty():
+            return pairs
+        wanted = common.written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
+        few = wanted.count() <= BROADCAST
         ids = nodes.select(F.col("id").alias("doc_id"), "h1", "h2")
-        sets = common.written(_sets(texts.join(wanted, "doc_id", "left_semi"), width).join(ids, ["doc_id", "h1", "h2"], "left_semi").select("doc_id", "hashes"), "sets")
+        sets = common.written(_sets(texts.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi"), width).join(ids, ["doc_id", "h1", "h2"], "left_semi").select("doc_id", "hashes"), "sets")
         both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")), "b")
         shared = F.size(F.array_intersect("x", "y"))
         out = common.written(both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b"), "confirmed")
-        common.drop(pairs, sets)
+        common.drop(pairs, sets, wanted)
         return out
 
     def alike(a, b):
         low, high = F.least(f"{a}n", f"{b}n"), F.greatest(f"{a}n", f"{b}n")
-        return (100 * low >= percent * high) & (_agree(f"{a}p", f"{b}p") >= MATCHES)
+        return (100 * low >= percent * high) & (_agree(f"{a}p", f"{b}p") >= matches(percent))
 
     def grown(groups: DataFrame, new: DataFrame) -> DataFrame:
         """The groups after more links."""
@@ -174,28 +188,40 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     # Rows that share a doc_id but not their set join the groups of both sets.
     twice = full.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    twice = common.written(twice, "twice")
     groups = common.components(full.join(twice, "doc_id", "left_semi").join(classes, ["h1", "h2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
-    start = nodes.select("id", "n", *packs, F.posexplode(F.slice("lanes", 1, LANES - MATCHES + 1)).alias("last", "value"))
-    posts = common.written(start.select(F.xxhash64(F.lit(0).cast("long"), "last", "value").alias("key"), "last", "id", "n", *packs), "posts")
-    for depth in range(1, MATCHES + 1):
-        hubs = posts.withColumn("draw", F.xxhash64("key", "id")).groupBy("key").agg(F.count("*").alias("many"), *[F.min_by(c, "draw").alias(f"h{c}") for c in ("id", "n", *packs)]).where("many > 1")
+    told = nodes.select("id", "n", *packs)
+
+    def shared(posts: DataFrame) -> DataFrame:
+        """The posts (key, last, id) whose list holds others, with what filters pairs."""
+        keys = posts.groupBy("key").agg(F.count("*").alias("many")).where("many > 1").select("key")
+        return common.written(posts.join(keys, "key", "left_semi").join(told, "id"), "posts")
+
+    first = nodes.select("id", F.posexplode(F.slice("coordinates", 1, COORDINATES - AGREE + 1)).alias("last", "key"))
+    posts = shared(first.select("key", "last", "id"))
+    for depth in range(1, AGREE + 1):
+        # One document of each list, another in each list, is compared with all others.
+        hubs = posts.withColumn("draw", F.xxhash64("key", "id")).groupBy("key").agg(*[F.min_by(c, "draw").alias(f"h{c}") for c in ("id", "n", *packs)])
         star = posts.join(hubs, "key").where(F.col("id") != F.col("hid")).where(alike("", "h"))
         groups = grown(groups, confirm(star.select(F.least("id", "hid").alias("a"), F.greatest("id", "hid").alias("b"))))
         named = posts.join(groups, F.col("id") == F.col("node"), "left").select("key", "last", "id", "n", *packs, F.coalesce("component", "id").alias("in_group"))
         named = common.written(named, "named")
         common.drop(posts)
-        lists = named.groupBy("key").agg(F.count("*").alias("many"), F.min("in_group").alias("first"), F.max("in_group").alias("end")).where("many > 2 and first != end")
-        lists = common.written(lists.select("key", "many"), "lists")
-        short = named.join(lists.where(F.col("many") <= SHORT) if depth < MATCHES else lists, "key").select("key", "id", "n", *packs, "in_group")
-        left, right = (short.select("key", *[F.col(c).alias(f"{side}{c}") for c in ("id", "n", *packs, "in_group")]) for side in "lr")
-        pairs = left.join(right, "key").where("lid < rid and lin_group != rin_group").where(alike("l", "r"))
-        groups = grown(groups, confirm(pairs.select(F.col("lid").alias("a"), F.col("rid").alias("b"))))
-        long = lists.where(F.col("many") > SHORT)
-        if depth == MATCHES or long.isEmpty():
+        # Pairs of different groups are left; the largest group of a list needs no comparison with itself.
+        sizes = named.groupBy("key", "in_group").agg(F.count("*").alias("rows"))
+        lists = sizes.groupBy("key").agg(F.sum("rows").alias("many"), F.sum(F.col("rows") * F.col("rows")).alias("squares"), F.max_by("in_group", "rows").alias("main"), F.count("*").alias("parts")).where("parts > 1 and many > 2")
+        lists = common.written(lists.select("key", "main", (F.col("many") * F.col("many") - F.col("squares") <= 2 * SHORT * F.col("many")).alias("short")), "lists")
+        now = lists.where("short") if depth < AGREE else lists
+        less = named.join(now, "key").where("in_group != main").select("key", *[F.col(c).alias(f"l{c}") for c in ("id", "n", *packs, "in_group")])
+        every = named.select("key", *[F.col(c).alias(f"r{c}") for c in ("id", "n", *packs, "in_group")])
+        pairs = less.join(every, "key").where("lin_group != rin_group").where(alike("l", "r"))
+        groups = grown(groups, confirm(pairs.select(F.least("lid", "rid").alias("a"), F.greatest("lid", "rid").alias("b"))))
+        long = lists.where("not short")
+        if depth == AGREE or long.isEmpty():
             common.drop(named, lists)
             break
-        again = named.join(long.select("key"), "key", "left_semi").join(nodes.select("id", "lanes"), "id").select("key", "last", "id", "n", *packs, F.posexplode("lanes").alias("next", "value"))
-        posts = common.written(again.where(f"next > last and next <= {LANES - MATCHES + depth}").select(F.xxhash64("key", "next", "value").alias("key"), F.col("next").alias("last"), "id", "n", *packs), "posts")
+        again = named.select("key", "last", "id").join(long.select("key"), "key", "left_semi").join(nodes.select("id", F.posexplode("coordinates").alias("next", "value")), "id")
+        posts = shared(again.where("next > last").select(F.xxhash64("key", "value").alias("key"), F.col("next").alias("last"), "id"))
         common.drop(named, lists)
     common.drop(nodes)
     by_set = classes.join(groups, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
