@@ -23,12 +23,12 @@ def first_of_each(rows: DataFrame, most: int) -> dict[int, list]:
     return {y: rows.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect() for y in (0, 1)}
 
 
-def logistic_fit(values, labels, weight: float = 1e-2):
-    """(slopes, shift) of a logistic curve through rows of values and labels, with smoothed targets."""
+def logistic_fit(values, labels, width: int, weight: float = 1e-2):
+    """(slopes, shift) of a logistic curve through rows of `width` values and labels, with smoothed targets."""
     import numpy as np
 
     y = np.asarray(labels, "f8")
-    x = np.asarray(values, "f8").reshape(len(y), -1)
+    x = np.asarray(values, "f8").reshape(len(y), width)
     up, down = y.sum(), len(y) - y.sum()
     if not up or not down:
         return [0.0] * x.shape[1], float(np.log((up + 1) / (down + 1)))

@@ -41,10 +41,12 @@ def dictionary(texts: list[str]) -> bytes:
 
     parts = [data[at : at + PART] for data in (x.encode("utf-8", "surrogatepass") for x in texts) for at in range(0, len(data), PART)]
     total = sum(map(len, parts))
+    if total < 4096:
+        return b"".join(parts) or b"\0" * 8
     try:
         return zstandard.train_dictionary(min(DICTIONARY, max(1024, total // 8)), parts).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(parts)[-DICTIONARY:] or b"\0" * 8
+        return b"".join(parts)[-DICTIONARY:]
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
@@ -54,7 +56,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     good, bad = dictionary(texts[1][::2]), dictionary(texts[0][::2])
     both = Compressors(good, bad)
     rest = [(both.differences(x), y) for y in (0, 1) for x in texts[y][1::2]]
-    return good, bad, *labelled.logistic_fit([x for x, _ in rest], [y for _, y in rest])
+    return good, bad, *labelled.logistic_fit([x for x, _ in rest], [y for _, y in rest], 3)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:

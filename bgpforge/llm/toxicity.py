@@ -238,7 +238,7 @@ def fit(docs: DataFrame, labels: DataFrame, texts: int = TEXTS, words: int = WOR
         return [".".join(w), w[:at] + "*" + w[at:], w[:at] + letters[int(draw.integers(len(letters)))] + w[at:]]
 
     if not positive and not bags or not negative:
-        share = labelled.logistic_fit(np.zeros((len(toxic) + len(clean), 1)), [1] * len(toxic) + [0] * len(clean))
+        share = labelled.logistic_fit(np.zeros((len(toxic) + len(clean), 1)), [1] * len(toxic) + [0] * len(clean), 1)
         return letters, np.zeros(kernel.n**3), 0.0, *share
     chosen, guesses, hard = sorted(positive), [w for x in bags for w in x], []
     candidates = sorted(w for w in clean_words if 2 < len(w) <= LONG and w not in positive)
@@ -260,7 +260,7 @@ def fit(docs: DataFrame, labels: DataFrame, texts: int = TEXTS, words: int = WOR
         guesses = list(dict.fromkeys(found_words))
     machine = Machine(letters, table, shift)
     value = [*machine.worst(toxic), *machine.worst(clean)]
-    return letters, table, shift, *labelled.logistic_fit(value, [1] * len(toxic) + [0] * len(clean))
+    return letters, table, shift, *labelled.logistic_fit(value, [1] * len(toxic) + [0] * len(clean), 1)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, texts: int = TEXTS, words: int = WORDS) -> DataFrame:
