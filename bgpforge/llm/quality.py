@@ -51,7 +51,7 @@ def dictionary(texts: list[str]) -> bytes:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     """(good, bad, slopes, shift) from at most `sample` labelled rows of each kind."""
-    found = labelled.first_of_each(labelled.training(docs, labels, "quality", MODULUS, REMAINDER), sample)
+    found = labelled.first_of_each(labelled.training(docs, labels, "quality", MODULUS, REMAINDER, sample), sample)
     texts = {y: [r["text"] for r in rows] for y, rows in found.items()}
     good, bad = dictionary(texts[1][::2]), dictionary(texts[0][::2])
     both = Compressors(good, bad)

@@ -24,6 +24,8 @@ ALPHABET = 56
 LANDMARKS = 320
 #: Bounds of the sample that is learned from: labelled texts of each kind for calibration and witnesses, words of each kind.
 TEXTS, WORDS = 2500, 6000
+#: Labelled texts of each kind whose words are counted, at most.
+ROWS = 10_000
 #: Times the machine is trained, each time with the clean words that scored highest before.
 TURNS = 3
 THRESHOLD, MODULUS, REMAINDER = 0.7, 3, 1
@@ -204,13 +206,13 @@ def _word_counts(rows: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, texts: int = TEXTS, words: int = WORDS):
     """(letters, table, shift, slopes, offset).
 
-    All labelled texts are counted for words; what is learned from is a bounded sample of them: words that hardly occur in clean texts but in many
+    At most ROWS labelled texts of each kind are counted for words; what is learned from is a bounded sample of them: words that hardly occur in clean texts but in many
     different places of toxic ones, the frequent and a hashed choice of other words of clean texts, and TEXTS texts of each kind. In toxic texts that hold no word so found, the best-scoring word is
     taken for the insult in the next turn (multiple-instance learning).
     """
     import numpy as np
 
-    rows = labelled.training(docs, labels, "toxic", MODULUS, REMAINDER)
+    rows = labelled.training(docs, labels, "toxic", MODULUS, REMAINDER, ROWS)
     counts = common.written(_word_counts(rows), "words")
     strong = counts.where("beside >= 4 and 5 * beside >= 2 * toxic and toxic >= 20 * clean").orderBy(F.desc("toxic"), "unit").limit(words // 6).collect()
     often = counts.where("clean > 0 and clean > toxic").orderBy(F.desc("clean"), "unit").limit(words // 3).collect()
