@@ -5,7 +5,7 @@ probability s^4. Documents are posted under each coordinate-value pair. Pairs th
 similarity 0.85 a pair misses that with probability 6e-7, at 0.8 with 6e-5, more similar ones hardly ever. A pair with AGREE = 2 agreeing
 coordinates has its first one among all but the last: that prefix is posted. Candidates of a list must also collide in LANES single minima as often as the
 threshold makes likely, less 4.7 standard deviations (`matches`), and are then confirmed on their full sets. Lists with too many pairs of different groups are skipped, and their
-documents are posted again under the second agreeing coordinate.
+documents are posted again under the second agreeing coordinate. A pair is a candidate in the lists of its first agreeing coordinates only.
 """
 
 from __future__ import annotations
@@ -22,6 +22,12 @@ LANES = 91
 SHORT = 32
 #: Ids of candidates that are sent to every executor; more of them are joined.
 BROADCAST = 1_000_000
+#: Documents of one side of a block of candidates.
+SIDE = 400
+#: Coordinates told apart by 14 bits of each, four to a long in slots of 15 bits.
+_SLOT = 15
+_LOW = sum(0x3FFF << _SLOT * k for k in range(4))
+_TOP = sum(0x4000 << _SLOT * k for k in range(4))
 _SEVEN = 0x007F7F7F7F7F7F7F
 _HIGH = 0x0080808080808080
 
@@ -71,7 +77,7 @@ def signature(hashes, salts):
 
 
 def features(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2: digest of the set, coordinates: hashed, lanes: single minima's low bytes, seven in a long) of every row."""
+    """(doc_id, n_shingles, h1, h2: digest of the set, coordinates: hashed, lanes: single minima's low bytes, seven in a long, marks: coordinates' high bits, four in a long) of every row."""
 
     def make(batches):
         import numpy as np
@@ -95,13 +101,14 @@ def features(docs: DataFrame, width: int) -> DataFrame:
                 mixed = (mixed ^ low[:, k::ROWS]) * np.uint64(0x9E3779B97F4A7C15)
                 mixed ^= mixed >> np.uint64(31)
             packed = ((low[:, :LANES].reshape(n, LANES // 7, 7) & np.uint64(255)) << places).sum(axis=2, dtype="u8")
+            marks = ((mixed.reshape(n, COORDINATES // 4, 4) >> np.uint64(50)) << (np.uint64(_SLOT) * np.arange(4, dtype="u8"))).sum(axis=2, dtype="u8")
             listed = lambda x, size: pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype="i4") * size), pa.array(np.ascontiguousarray(x).ravel().view("i8")))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array([x for x, _ in digests], pa.int64()), pa.array([x for _, x in digests], pa.int64()), listed(mixed, COORDINATES), listed(packed, LANES // 7)],
-                names=["doc_id", "n_shingles", "h1", "h2", "coordinates", "lanes"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array([x for x, _ in digests], pa.int64()), pa.array([x for _, x in digests], pa.int64()), listed(mixed, COORDINATES), listed(packed, LANES // 7), listed(marks, COORDINATES // 4)],
+                names=["doc_id", "n_shingles", "h1", "h2", "coordinates", "lanes", "marks"],
             )
 
-    return common.documents(docs).mapInArrow(make, "doc_id long, n_shingles long, h1 long, h2 long, coordinates array<long>, lanes array<long>")
+    return common.documents(docs).mapInArrow(make, "doc_id long, n_shingles long, h1 long, h2 long, coordinates array<long>, lanes array<long>, marks array<long>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -139,6 +146,68 @@ def _agree(a: str, b: str):
     return out
 
 
+def _earlier(a: str, b: str, last: str):
+    """Coordinates before `last` that agree, by their marks m0..m5 (never fewer than really do)."""
+    out = F.lit(0)
+    for i in range(COORDINATES // 4):
+        x = F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))
+        equal = F.lit(_TOP) - (x + F.lit(_LOW)).bitwiseAND(F.lit(_TOP))
+        before = F.array(*[F.lit(sum(0x4000 << _SLOT * k for k in range(4) if 4 * i + k < at)) for at in range(COORDINATES)])
+        out = out + F.bit_count(equal.bitwiseAND(F.get(before, F.col(last))))
+    return out
+
+
+def _confirm_blocks(percent: int):
+    """For mapInArrow over (block, a, b, hashes), blocks together, their sets (a, hashes) before their pairs (a, b): the pairs that are similar enough."""
+
+    def close(names, sets, lefts, rights):
+        import numpy as np
+        import pyarrow as pa
+
+        place = {name: i for i, name in enumerate(names)}
+        sizes = np.array([len(x) for x in sets])
+        _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+        ends = np.cumsum(sizes)
+        member = np.zeros(int(codes.max()) + 1, bool)
+        a, b = np.array([place[x] for x in lefts]), np.array([place[x] for x in rights])
+        order = np.argsort(a, kind="stable")
+        a, b, good = a[order], b[order], []
+        starts = np.concatenate(([0], np.nonzero(np.diff(a))[0] + 1, [len(a)]))
+        for first, to in zip(starts[:-1], starts[1:], strict=True):
+            me = a[first]
+            mine = codes[ends[me] - sizes[me] : ends[me]]
+            member[mine] = True
+            for x in range(first, to):
+                other = b[x]
+                shared = np.count_nonzero(member[codes[ends[other] - sizes[other] : ends[other]]])
+                good.append(100 * shared >= percent * (sizes[me] + sizes[other] - shared))
+            member[mine] = False
+        names, good = np.array(names), np.array(good)
+        return pa.RecordBatch.from_arrays([pa.array(names[a[good]]), pa.array(names[b[good]])], names=["a", "b"])
+
+    def run(batches):
+        import numpy as np
+
+        block, names, sets, lefts, rights = None, [], [], [], []
+        for batch in batches:
+            hashes = batch.column(3)
+            for i, (key, a, b) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)):
+                if key != block:
+                    if lefts:
+                        yield close(names, sets, lefts, rights)
+                    block, names, sets, lefts, rights = key, [], [], [], []
+                if b is None:
+                    names.append(a)
+                    sets.append(np.array(hashes[i].values))
+                else:
+                    lefts.append(a)
+                    rights.append(b)
+        if lefts:
+            yield close(names, sets, lefts, rights)
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Group documents (doc_id, text) whose word-shingle sets have a Jaccard similarity of at least percent / 100.
 
@@ -152,11 +221,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     (pairs of different groups alone), long ones under a second agreeing coordinate.
     """
     rows = common.written(features(docs, width), "features")
-    full = rows.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "h1", "h2", "coordinates", "lanes")
+    full = rows.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "h1", "h2", "coordinates", "lanes", "marks")
     classes = common.written(full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
-    packs = [f"p{i}" for i in range(LANES // 7)]
+    lanes, marks = [f"p{i}" for i in range(LANES // 7)], [f"m{i}" for i in range(COORDINATES // 4)]
+    packs = [*lanes, *marks]
     nodes = full.join(classes.withColumnRenamed("rep", "doc_id"), ["h1", "h2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "h1", "h2"])
-    nodes = common.written(nodes.select(F.col("doc_id").alias("id"), "h1", "h2", F.col("n_shingles").alias("n"), "coordinates", *[F.element_at("lanes", i + 1).alias(c) for i, c in enumerate(packs)]), "nodes")
+    nodes = common.written(nodes.select(F.col("doc_id").alias("id"), "h1", "h2", F.col("n_shingles").alias("n"), "coordinates", *[F.element_at("lanes", i + 1).alias(c) for i, c in enumerate(lanes)], *[F.element_at("marks", i + 1).alias(c) for i, c in enumerate(marks)]), "nodes")
     texts = common.documents(docs)
 
     def confirm(pairs: DataFrame) -> DataFrame:
@@ -168,9 +238,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         few = wanted.count() <= BROADCAST
         ids = nodes.select(F.col("id").alias("doc_id"), "h1", "h2")
         sets = common.written(_sets(texts.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi"), width).join(ids, ["doc_id", "h1", "h2"], "left_semi").select("doc_id", "hashes"), "sets")
-        both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")), "b")
-        shared = F.size(F.array_intersect("x", "y"))
-        out = common.written(both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b"), "confirmed")
+        # Pairs are dealt to blocks of their candidate component, SIDE documents a side; a set is sent once to each block.
+        parts = common.components(pairs)
+        slices = parts.groupBy("component").agg(F.ceil(F.count("*") / SIDE).alias("slices"))
+        placed = parts.join(slices, "component").select("node", "component", F.pmod(F.xxhash64("node"), F.col("slices")).alias("slice"))
+        placed = common.written(placed, "placed")
+        sided = pairs.join(placed.select(F.col("node").alias("a"), "component", F.col("slice").alias("x")), "a").join(placed.select(F.col("node").alias("b"), F.col("slice").alias("y")), "b")
+        sided = common.written(sided.select(F.xxhash64("component", "x", "y").alias("block"), "a", "b"), "sided")
+        sent = sided.select("block", F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(sets, "doc_id")
+        rows_ = sent.select("block", F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "hashes").unionAll(sided.select("block", "a", "b", F.lit(None).cast("array<long>").alias("hashes")))
+        out = common.written(rows_.repartition("block").sortWithinPartitions("block", F.col("b").asc_nulls_first()).mapInArrow(_confirm_blocks(percent), "a long, b long"), "confirmed")
+        common.drop(parts, placed, sided)
         common.drop(pairs, sets, wanted)
         return out
 
@@ -201,7 +279,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     posts = shared(first.select("key", "last", "id"))
     for depth in range(1, AGREE + 1):
         # One document of each list, another in each list, is compared with all others.
-        hubs = posts.withColumn("draw", F.xxhash64("key", "id")).groupBy("key").agg(*[F.min_by(c, "draw").alias(f"h{c}") for c in ("id", "n", *packs)])
+        hubs = posts.withColumn("draw", F.xxhash64("key", "id")).groupBy("key").agg(*[F.min_by(c, "draw").alias(f"h{c}") for c in ("id", "n", *lanes)])
         star = posts.join(hubs, "key").where(F.col("id") != F.col("hid")).where(alike("", "h"))
         groups = grown(groups, confirm(star.select(F.least("id", "hid").alias("a"), F.greatest("id", "hid").alias("b"))))
         named = posts.join(groups, F.col("id") == F.col("node"), "left").select("key", "last", "id", "n", *packs, F.coalesce("component", "id").alias("in_group"))
@@ -212,9 +290,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         lists = sizes.groupBy("key").agg(F.sum("rows").alias("many"), F.sum(F.col("rows") * F.col("rows")).alias("squares"), F.max_by("in_group", "rows").alias("main"), F.count("*").alias("parts")).where("parts > 1 and many > 2")
         lists = common.written(lists.select("key", "main", (F.col("many") * F.col("many") - F.col("squares") <= 2 * SHORT * F.col("many")).alias("short")), "lists")
         now = lists.where("short") if depth < AGREE else lists
-        less = named.join(now, "key").where("in_group != main").select("key", *[F.col(c).alias(f"l{c}") for c in ("id", "n", *packs, "in_group")])
+        less = named.join(now, "key").where("in_group != main").select("key", "main", "last", *[F.col(c).alias(f"l{c}") for c in ("id", "n", *packs, "in_group")])
         every = named.select("key", *[F.col(c).alias(f"r{c}") for c in ("id", "n", *packs, "in_group")])
-        pairs = less.join(every, "key").where("lin_group != rin_group").where(alike("l", "r"))
+        # A pair counts in its first agreeing coordinates, one in reserve as marks may agree by chance, and on one side.
+        pairs = less.join(every, "key").where("lin_group != rin_group and (rin_group = main or lid < rid)").where(alike("l", "r")).where(_earlier("lm", "rm", "last") <= depth)
         groups = grown(groups, confirm(pairs.select(F.least("lid", "rid").alias("a"), F.greatest("lid", "rid").alias("b"))))
         long = lists.where("not short")
         if depth == AGREE or long.isEmpty():
