@@ -5,7 +5,9 @@ probability s^4. Documents are posted under each coordinate-value pair. Pairs th
 similarity 0.85 a pair misses that with probability 6e-7, at 0.8 with 6e-5, more similar ones hardly ever. A pair with AGREE = 2 agreeing
 coordinates has its first one among all but the last: that prefix is posted. Candidates of a list must also collide in LANES single minima as often as the
 threshold makes likely, less 4.7 standard deviations (`matches`), and are then confirmed on their full sets. Lists with too many pairs of different groups are skipped, and their
-documents are posted again under the second agreeing coordinate. A pair is a candidate in the lists of its first agreeing coordinates only.
+documents are posted again under the second agreeing coordinate. Lists of more than
+SMALL documents are compared in blocks, which give stars of candidates, not pairs; the full sets of a candidate component are again compared in
+blocks, which give links that join groups.
 """
 
 from __future__ import annotations
@@ -24,10 +26,8 @@ SHORT = 32
 BROADCAST = 1_000_000
 #: Documents of one side of a block of candidates.
 SIDE = 400
-#: Coordinates told apart by 14 bits of each, four to a long in slots of 15 bits.
-_SLOT = 15
-_LOW = sum(0x3FFF << _SLOT * k for k in range(4))
-_TOP = sum(0x4000 << _SLOT * k for k in range(4))
+#: Lists of at most so many documents are compared by a join; documents of one side of a block of a longer list.
+SMALL, WIDE = 16, 2000
 _SEVEN = 0x007F7F7F7F7F7F7F
 _HIGH = 0x0080808080808080
 
@@ -77,7 +77,7 @@ def signature(hashes, salts):
 
 
 def features(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2: digest of the set, coordinates: hashed, lanes: single minima's low bytes, seven in a long, marks: coordinates' high bits, four in a long) of every row."""
+    """(doc_id, n_shingles, h1, h2: digest of the set, coordinates: hashed, lanes: single minima's low bytes, seven in a long) of every row."""
 
     def make(batches):
         import numpy as np
@@ -101,14 +101,13 @@ def features(docs: DataFrame, width: int) -> DataFrame:
                 mixed = (mixed ^ low[:, k::ROWS]) * np.uint64(0x9E3779B97F4A7C15)
                 mixed ^= mixed >> np.uint64(31)
             packed = ((low[:, :LANES].reshape(n, LANES // 7, 7) & np.uint64(255)) << places).sum(axis=2, dtype="u8")
-            marks = ((mixed.reshape(n, COORDINATES // 4, 4) >> np.uint64(50)) << (np.uint64(_SLOT) * np.arange(4, dtype="u8"))).sum(axis=2, dtype="u8")
             listed = lambda x, size: pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype="i4") * size), pa.array(np.ascontiguousarray(x).ravel().view("i8")))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array([x for x, _ in digests], pa.int64()), pa.array([x for _, x in digests], pa.int64()), listed(mixed, COORDINATES), listed(packed, LANES // 7), listed(marks, COORDINATES // 4)],
-                names=["doc_id", "n_shingles", "h1", "h2", "coordinates", "lanes", "marks"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array([x for x, _ in digests], pa.int64()), pa.array([x for _, x in digests], pa.int64()), listed(mixed, COORDINATES), listed(packed, LANES // 7)],
+                names=["doc_id", "n_shingles", "h1", "h2", "coordinates", "lanes"],
             )
 
-    return common.documents(docs).mapInArrow(make, "doc_id long, n_shingles long, h1 long, h2 long, coordinates array<long>, lanes array<long>, marks array<long>")
+    return common.documents(docs).mapInArrow(make, "doc_id long, n_shingles long, h1 long, h2 long, coordinates array<long>, lanes array<long>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -146,64 +145,93 @@ def _agree(a: str, b: str):
     return out
 
 
-def _earlier(a: str, b: str, last: str):
-    """Coordinates before `last` that agree, by their marks m0..m5 (never fewer than really do)."""
-    out = F.lit(0)
-    for i in range(COORDINATES // 4):
-        x = F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))
-        equal = F.lit(_TOP) - (x + F.lit(_LOW)).bitwiseAND(F.lit(_TOP))
-        before = F.array(*[F.lit(sum(0x4000 << _SLOT * k for k in range(4) if 4 * i + k < at)) for at in range(COORDINATES)])
-        out = out + F.bit_count(equal.bitwiseAND(F.get(before, F.col(last))))
-    return out
+def _blocks(batches):
+    """A table for each run of equal values in the first column."""
+    import numpy as np
+    import pyarrow as pa
+
+    held, name = [], None
+    for batch in batches:
+        keys = batch.column(0).to_numpy()
+        cuts = [0, *(np.nonzero(keys[1:] != keys[:-1])[0] + 1), len(keys)] if len(keys) else []
+        for first, to in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and keys[first] != name:
+                yield pa.Table.from_batches(held)
+                held = []
+            name = keys[first]
+            held.append(batch.slice(first, to - first))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _columns(block):
+    """side, id, n, group of a block's rows, and their lanes as bytes (the eighth of each long is 0)."""
+    import numpy as np
+
+    lanes = np.stack([block.column(f"p{i}").to_numpy() for i in range(LANES // 7)], axis=1)
+    return *(block.column(c).to_numpy() for c in ("side", "id", "n", "in_group")), np.ascontiguousarray(lanes).view("u1")
+
+
+def _near(i, among, n, group, lanes, percent: int):
+    """Of the places `among` those of another group that may be similar enough to place i."""
+    import numpy as np
+
+    among = among[group[among] != group[i]]
+    among = among[100 * np.minimum(n[among], n[i]) >= percent * np.maximum(n[among], n[i])]
+    return among[(lanes[among] == lanes[i]).sum(axis=1) - LANES // 7 >= matches(percent)]
 
 
-def _confirm_blocks(percent: int):
-    """For mapInArrow over (block, a, b, hashes), blocks together, their sets (a, hashes) before their pairs (a, b): the pairs that are similar enough."""
+def _list_blocks(percent: int):
+    """For mapInArrow over blocks of lists: candidates of side 0 with side 1, contracted to stars."""
 
-    def close(names, sets, lefts, rights):
+    def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        place = {name: i for i, name in enumerate(names)}
-        sizes = np.array([len(x) for x in sets])
-        _, codes = np.unique(np.concatenate(sets), return_inverse=True)
-        ends = np.cumsum(sizes)
-        member = np.zeros(int(codes.max()) + 1, bool)
-        a, b = np.array([place[x] for x in lefts]), np.array([place[x] for x in rights])
-        order = np.argsort(a, kind="stable")
-        a, b, good = a[order], b[order], []
-        starts = np.concatenate(([0], np.nonzero(np.diff(a))[0] + 1, [len(a)]))
-        for first, to in zip(starts[:-1], starts[1:], strict=True):
-            me = a[first]
-            mine = codes[ends[me] - sizes[me] : ends[me]]
-            member[mine] = True
-            for x in range(first, to):
-                other = b[x]
-                shared = np.count_nonzero(member[codes[ends[other] - sizes[other] : ends[other]]])
-                good.append(100 * shared >= percent * (sizes[me] + sizes[other] - shared))
-            member[mine] = False
-        names, good = np.array(names), np.array(good)
-        return pa.RecordBatch.from_arrays([pa.array(names[a[good]]), pa.array(names[b[good]])], names=["a", "b"])
+        def pairs():
+            for block in _blocks(batches):
+                side, ids, n, group, lanes = _columns(block)
+                every = np.nonzero(side == 1)[0]
+                a, b = [np.zeros(0, "i8")], [np.zeros(0, "i8")]
+                for i in np.nonzero(side == 0)[0]:
+                    near = _near(i, every, n, group, lanes, percent)
+                    a.append(np.full(len(near), ids[i]))
+                    b.append(ids[near])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+        yield from common._contract(pairs())
+
+    return run
+
+
+def _component_blocks(percent: int):
+    """For mapInArrow over blocks of candidate components, with full sets: links that join groups, no more than join them."""
 
     def run(batches):
         import numpy as np
+        import pyarrow as pa
 
-        block, names, sets, lefts, rights = None, [], [], [], []
-        for batch in batches:
-            hashes = batch.column(3)
-            for i, (key, a, b) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)):
-                if key != block:
-                    if lefts:
-                        yield close(names, sets, lefts, rights)
-                    block, names, sets, lefts, rights = key, [], [], [], []
-                if b is None:
-                    names.append(a)
-                    sets.append(np.array(hashes[i].values))
-                else:
-                    lefts.append(a)
-                    rights.append(b)
-        if lefts:
-            yield close(names, sets, lefts, rights)
+        for block in _blocks(batches):
+            side, ids, n, group, lanes = _columns(block)
+            sets = block.column("hashes").combine_chunks()
+            _, codes = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+            n = sets.value_lengths().to_numpy()
+            ends = np.cumsum(n)
+            group, a, b = group.copy(), [], []
+            left, right = np.nonzero(side == 0)[0], np.nonzero(side == 1)[0]
+            member = np.zeros(int(codes.max()) + 1, bool)
+            for k, i in enumerate(left):
+                mine = codes[ends[i] - n[i] : ends[i]]
+                member[mine] = True
+                for j in _near(i, right if len(right) else left[k + 1 :], n, group, lanes, percent):
+                    if group[i] != group[j]:
+                        shared = np.count_nonzero(member[codes[ends[j] - n[j] : ends[j]]])
+                        if 100 * shared >= percent * (n[i] + n[j] - shared):
+                            a.append(ids[i])
+                            b.append(ids[j])
+                            group[group == group[j]] = group[i]
+                member[mine] = False
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
@@ -221,35 +249,37 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     (pairs of different groups alone), long ones under a second agreeing coordinate.
     """
     rows = common.written(features(docs, width), "features")
-    full = rows.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "h1", "h2", "coordinates", "lanes", "marks")
+    full = rows.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "h1", "h2", "coordinates", "lanes")
     classes = common.written(full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
-    lanes, marks = [f"p{i}" for i in range(LANES // 7)], [f"m{i}" for i in range(COORDINATES // 4)]
-    packs = [*lanes, *marks]
+    packs = [f"p{i}" for i in range(LANES // 7)]
     nodes = full.join(classes.withColumnRenamed("rep", "doc_id"), ["h1", "h2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "h1", "h2"])
-    nodes = common.written(nodes.select(F.col("doc_id").alias("id"), "h1", "h2", F.col("n_shingles").alias("n"), "coordinates", *[F.element_at("lanes", i + 1).alias(c) for i, c in enumerate(lanes)], *[F.element_at("marks", i + 1).alias(c) for i, c in enumerate(marks)]), "nodes")
+    nodes = common.written(nodes.select(F.col("doc_id").alias("id"), "h1", "h2", F.col("n_shingles").alias("n"), "coordinates", *[F.element_at("lanes", i + 1).alias(c) for i, c in enumerate(packs)]), "nodes")
     texts = common.documents(docs)
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        """Of the pairs (a, b) of ids those whose full sets are similar enough."""
-        pairs = common.written(pairs.distinct(), "pairs")
-        if pairs.isEmpty():
-            return pairs
-        wanted = common.written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """(doc_id, hashes) of the wanted nodes (doc_id)."""
+        wanted = common.written(wanted, "wanted")
         few = wanted.count() <= BROADCAST
         ids = nodes.select(F.col("id").alias("doc_id"), "h1", "h2")
-        sets = common.written(_sets(texts.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi"), width).join(ids, ["doc_id", "h1", "h2"], "left_semi").select("doc_id", "hashes"), "sets")
-        # Pairs are dealt to blocks of their candidate component, SIDE documents a side; a set is sent once to each block.
-        parts = common.components(pairs)
-        slices = parts.groupBy("component").agg(F.ceil(F.count("*") / SIDE).alias("slices"))
-        placed = parts.join(slices, "component").select("node", "component", F.pmod(F.xxhash64("node"), F.col("slices")).alias("slice"))
-        placed = common.written(placed, "placed")
-        sided = pairs.join(placed.select(F.col("node").alias("a"), "component", F.col("slice").alias("x")), "a").join(placed.select(F.col("node").alias("b"), F.col("slice").alias("y")), "b")
-        sided = common.written(sided.select(F.xxhash64("component", "x", "y").alias("block"), "a", "b"), "sided")
-        sent = sided.select("block", F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(sets, "doc_id")
-        rows_ = sent.select("block", F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "hashes").unionAll(sided.select("block", "a", "b", F.lit(None).cast("array<long>").alias("hashes")))
-        out = common.written(rows_.repartition("block").sortWithinPartitions("block", F.col("b").asc_nulls_first()).mapInArrow(_confirm_blocks(percent), "a long, b long"), "confirmed")
-        common.drop(parts, placed, sided)
-        common.drop(pairs, sets, wanted)
+        sets = common.written(_sets(texts.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi"), width).join(ids, ["doc_id", "h1", "h2"], "left_semi").dropDuplicates(["doc_id", "h1", "h2"]).select("doc_id", "hashes"), "sets")
+        common.drop(wanted)
+        return sets
+
+    def settled(links: DataFrame) -> DataFrame:
+        """Links that join the groups of similar documents within each component of candidate links (a, b)."""
+        links = common.written(links.distinct(), "candidates")
+        if links.isEmpty():
+            return links
+        parts = common.components(links)
+        sizes = parts.groupBy("component").agg(F.ceil(F.count("*") / SIDE).alias("slices"))
+        grouped = groups.select("node", F.col("component").alias("in_group"))
+        members = parts.join(sizes, "component").join(grouped, "node", "left").select(F.col("node").alias("id"), "component", "slices", F.coalesce("in_group", "node").alias("in_group"))
+        members = common.written(members.join(told, "id"), "members")
+        sets = sets_of(members.select(F.col("id").alias("doc_id")))
+        spread = members.join(sets.withColumnRenamed("doc_id", "id"), "id").withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
+        spread = spread.select(F.xxhash64("component", F.least("slice", "other"), F.greatest("slice", "other")).alias("block"), (F.col("slice") > F.col("other")).cast("int").alias("side"), "id", "n", "in_group", *packs, "hashes")
+        out = common.written(spread.repartition("block").sortWithinPartitions("block").mapInArrow(_component_blocks(percent), "a long, b long"), "confirmed")
+        common.drop(links, parts, members, sets)
         return out
 
     def alike(a, b):
@@ -279,22 +309,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     posts = shared(first.select("key", "last", "id"))
     for depth in range(1, AGREE + 1):
         # One document of each list, another in each list, is compared with all others.
-        hubs = posts.withColumn("draw", F.xxhash64("key", "id")).groupBy("key").agg(*[F.min_by(c, "draw").alias(f"h{c}") for c in ("id", "n", *lanes)])
+        hubs = posts.withColumn("draw", F.xxhash64("key", "id")).groupBy("key").agg(*[F.min_by(c, "draw").alias(f"h{c}") for c in ("id", "n", *packs)])
         star = posts.join(hubs, "key").where(F.col("id") != F.col("hid")).where(alike("", "h"))
-        groups = grown(groups, confirm(star.select(F.least("id", "hid").alias("a"), F.greatest("id", "hid").alias("b"))))
+        groups = grown(groups, settled(star.select(F.least("id", "hid").alias("a"), F.greatest("id", "hid").alias("b"))))
         named = posts.join(groups, F.col("id") == F.col("node"), "left").select("key", "last", "id", "n", *packs, F.coalesce("component", "id").alias("in_group"))
         named = common.written(named, "named")
         common.drop(posts)
         # Pairs of different groups are left; the largest group of a list needs no comparison with itself.
         sizes = named.groupBy("key", "in_group").agg(F.count("*").alias("rows"))
-        lists = sizes.groupBy("key").agg(F.sum("rows").alias("many"), F.sum(F.col("rows") * F.col("rows")).alias("squares"), F.max_by("in_group", "rows").alias("main"), F.count("*").alias("parts")).where("parts > 1 and many > 2")
-        lists = common.written(lists.select("key", "main", (F.col("many") * F.col("many") - F.col("squares") <= 2 * SHORT * F.col("many")).alias("short")), "lists")
+        lists = sizes.groupBy("key").agg(F.sum("rows").alias("many"), F.sum(F.col("rows") * F.col("rows")).alias("squares"), F.max_by("in_group", "rows").alias("main"), F.max("rows").alias("most"), F.count("*").alias("parts")).where("parts > 1 and many > 2")
+        lists = common.written(lists.select("key", "main", (F.col("many") <= SMALL).alias("small"), F.ceil((F.col("many") - F.col("most")) / WIDE).alias("lefts"), F.ceil(F.col("many") / WIDE).alias("rights"), (F.col("many") * F.col("many") - F.col("squares") <= 2 * SHORT * F.col("many")).alias("short")), "lists")
         now = lists.where("short") if depth < AGREE else lists
-        less = named.join(now, "key").where("in_group != main").select("key", "main", "last", *[F.col(c).alias(f"l{c}") for c in ("id", "n", *packs, "in_group")])
+        tried = named.join(now, "key")
+        less = tried.where("small and in_group != main").select("key", "main", *[F.col(c).alias(f"l{c}") for c in ("id", "n", *packs, "in_group")])
         every = named.select("key", *[F.col(c).alias(f"r{c}") for c in ("id", "n", *packs, "in_group")])
-        # A pair counts in its first agreeing coordinates, one in reserve as marks may agree by chance, and on one side.
-        pairs = less.join(every, "key").where("lin_group != rin_group and (rin_group = main or lid < rid)").where(alike("l", "r")).where(_earlier("lm", "rm", "last") <= depth)
-        groups = grown(groups, confirm(pairs.select(F.least("lid", "rid").alias("a"), F.greatest("lid", "rid").alias("b"))))
+        pairs = less.join(every, "key").where("lin_group != rin_group and (rin_group = main or lid < rid)").where(alike("l", "r")).select(F.col("lid").alias("a"), F.col("rid").alias("b"))
+        # Longer lists go in blocks: documents outside the main group against all.
+        slot = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+        each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        sides = [tried.where("not small and in_group != main").withColumn("x", slot("lefts")).withColumn("y", each("rights")).withColumn("side", F.lit(0)), tried.where("not small").withColumn("y", slot("rights")).withColumn("x", each("lefts")).withColumn("side", F.lit(1))]
+        sides = [x.select(F.xxhash64("key", "x", "y").alias("block"), "side", "id", "n", "in_group", *packs) for x in sides]
+        stars = sides[0].unionAll(sides[1]).repartition("block").sortWithinPartitions("block").mapInArrow(_list_blocks(percent), "a long, b long")
+        groups = grown(groups, settled(pairs.unionAll(stars)))
         long = lists.where("not short")
         if depth == AGREE or long.isEmpty():
             common.drop(named, lists)
