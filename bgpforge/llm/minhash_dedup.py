@@ -28,6 +28,8 @@ BROADCAST = 1_000_000
 SIDE = 400
 #: Lists of at most so many documents are compared by a join; documents of one side of a block of a longer list.
 SMALL, WIDE = 16, 2000
+#: Coordinates (first ones) whose lists are compared with one of their documents ahead of all else, to group copies early.
+EARLY = 3
 _SEVEN = 0x007F7F7F7F7F7F7F
 _HIGH = 0x0080808080808080
 
@@ -244,9 +246,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     shingle. Rows that share a doc_id are one document: the links of any count. A row without doc_id links with nothing, has a null component and is kept. Empty
     tables give no rows.
 
-    Equal sets are one node. Links are confirmed on full sets. For each posting list a document of it is compared with all others,
-    which settles most lists of copies; only lists with documents of different groups go on, short ones pair by pair
-    (pairs of different groups alone), long ones under a second agreeing coordinate.
+    Equal sets are one node. Links are confirmed on full sets. For each posting list of the first EARLY coordinates a document of it is compared with all others,
+    which settles most lists of copies; all lists with documents of different groups go on, short ones with every pair
+    of different groups, long ones under a second agreeing coordinate.
     """
     rows = common.written(features(docs, width), "features")
     full = rows.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "h1", "h2", "coordinates", "lanes")
@@ -308,16 +310,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     first = nodes.select("id", F.posexplode(F.slice("coordinates", 1, COORDINATES - AGREE + 1)).alias("last", "key"))
     posts = shared(first.select("key", "last", "id"))
     for depth in range(1, AGREE + 1):
-        # One document of each list, another in each list, is compared with all others.
-        hubs = posts.withColumn("draw", F.xxhash64("key", "id")).groupBy("key").agg(*[F.min_by(c, "draw").alias(f"h{c}") for c in ("id", "n", *packs)])
-        star = posts.join(hubs, "key").where(F.col("id") != F.col("hid")).where(alike("", "h"))
+        # One document of each list of the first coordinates, another in each list, is compared with all others.
+        early = posts.where((F.col("last") < EARLY) if depth == 1 else F.lit(False))
+        hubs = early.withColumn("draw", F.xxhash64("key", "id")).groupBy("key").agg(*[F.min_by(c, "draw").alias(f"h{c}") for c in ("id", "n", *packs)])
+        star = early.join(hubs, "key").where(F.col("id") != F.col("hid")).where(alike("", "h"))
         groups = grown(groups, settled(star.select(F.least("id", "hid").alias("a"), F.greatest("id", "hid").alias("b"))))
         named = posts.join(groups, F.col("id") == F.col("node"), "left").select("key", "last", "id", "n", *packs, F.coalesce("component", "id").alias("in_group"))
         named = common.written(named, "named")
         common.drop(posts)
         # Pairs of different groups are left; the largest group of a list needs no comparison with itself.
         sizes = named.groupBy("key", "in_group").agg(F.count("*").alias("rows"))
-        lists = sizes.groupBy("key").agg(F.sum("rows").alias("many"), F.sum(F.col("rows") * F.col("rows")).alias("squares"), F.max_by("in_group", "rows").alias("main"), F.max("rows").alias("most"), F.count("*").alias("parts")).where("parts > 1 and many > 2")
+        lists = sizes.groupBy("key").agg(F.sum("rows").alias("many"), F.sum(F.col("rows") * F.col("rows")).alias("squares"), F.max_by("in_group", "rows").alias("main"), F.max("rows").alias("most"), F.count("*").alias("parts")).where("parts > 1")
         lists = common.written(lists.select("key", "main", (F.col("many") <= SMALL).alias("small"), F.ceil((F.col("many") - F.col("most")) / WIDE).alias("lefts"), F.ceil(F.col("many") / WIDE).alias("rights"), (F.col("many") * F.col("many") - F.col("squares") <= 2 * SHORT * F.col("many")).alias("short")), "lists")
         now = lists.where("short") if depth < AGREE else lists
         tried = named.join(now, "key")
