@@ -16,9 +16,9 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Characters beside an entity in which terms are looked for; letters of a term; texts in which both must stand.
-WINDOW, LETTERS, SUPPORT = 60, 3, 3
-#: A term discloses an entity if at least this share of the texts that hold it hold the entity beside it, and if it tells this many bits of it.
+#: Letters of a term.
+LETTERS = 3
+#: A term discloses an entity if at least this share of the texts that hold it hold the entity too, and if it tells this many bits of it.
 POSTERIOR, BITS = 0.5, 3.0
 SPAN = "struct<start:int,end:int,value:string>"
 
@@ -81,50 +81,63 @@ def _terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda x: F.length(x) >= LETTERS)
 
 
-def _beside(span: Column) -> Column:
-    """Terms beside a span; one that the window cuts is left out."""
-    text = F.col("__text")
-    first = F.greatest(span["start"] - WINDOW, F.lit(0))
-    left = F.substring(text, first + 1, span["start"] - first)
-    left = F.when(first > 0, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
-    right = F.substring(text, span["end"] + 1, F.lit(WINDOW))
-    right = F.when(F.length(right) == WINDOW, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
-    return F.array_distinct(F.concat(_terms(left), _terms(right)))
+def _marked(text: Column, marks: Column) -> Column:
+    """text with every span of marks (start, end, mark), in order, replaced by its mark, overlapping spans by the first."""
+
+    def step(acc, s):
+        cut = F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.when(s["start"] >= acc["at"], s["mark"]).otherwise(F.lit("")))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), cut.alias("out"))
+
+    return F.aggregate(marks, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+
+
+def _marks(kinds, mark) -> Column:
+    """All spans of the kinds as (start, end, mark), in order; mark gives the text that stands for a kind."""
+    one = lambda kind: lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(mark(kind)).alias("mark"))
+    return F.sort_array(F.concat(*[F.transform(F.col(f"s_{k}"), one(k)) for k in kinds]))
 
 
-def _entity(kind: str):
-    """An entity is its kind with its value, lower-cased and without the signs that cards and phones are written with."""
+def _entities(kind: str):
+    """What a span is an instance of: its value (lower-cased, without the signs that cards and phones are written with), the group of the value
+    (domain, network, issuer or exchange) and its kind."""
 
-    def entity(s):
+    def entities(s):
         value = F.regexp_replace(s["value"], r"[\x20().-]", "") if kind in ("card", "phone") else F.lower(s["value"])
-        return F.struct(F.concat(F.lit(f"{kind}:"), value).alias("entity"), _beside(s).alias("beside"))
+        group = {"email": F.substring_index(value, "@", -1), "ip": F.substring_index(value, ".", 3), "card": F.substring(value, 1, 6), "phone": F.substring(value, F.lit(1), F.length(value) - 4)}[kind]
+        return F.array(F.concat(F.lit(f"{kind}:"), value), F.concat(F.lit(f"{kind} of "), group), F.lit(kind))
 
-    return entity
+    return entities
 
 
-def disclosing_terms(found: DataFrame, texts: DataFrame, posterior: float = POSTERIOR, bits: float = BITS, support: int = SUPPORT) -> DataFrame:
+def disclosing_terms(found: DataFrame, texts: DataFrame, posterior: float = POSTERIOR, bits: float = BITS) -> DataFrame:
     """(key, term): terms that reveal an entity, with the key of every text that holds them.
 
-    found: (key, entity, beside) of all base spans; texts: (key, __text) of all documents. Equal texts count once. For a term t and an entity e, of N
-    texts n_t hold t, n_e hold e, and n_et hold t beside e. t discloses e if n_et >= support, n_et / n_t >= posterior and
-    log2(n_et / n_t * N / n_e) >= bits. A first, exact bound leaves out terms that stand beside other entities too often.
+    found: (key, entities, terms, inside) of every text with base spans, terms those outside of them and inside those only within; texts: (key, __text)
+    of all documents. Equal texts count once. An entity is a value, the group that it belongs to, or its kind, so that a value that stands in a single
+    text is judged by what is known of its group and kind. For a term t and an entity e, of N texts n_t hold t outside of spans, n_e hold e, and n_et
+    both, however far apart. t discloses e if n_et / n_t >= posterior, gain = log2(n_et / n_t * N / n_e) >= bits, and n_et > 1 texts together tell
+    more than chance: n_et * gain >= log2 of the number of terms that are tried. Exact bounds first leave out terms that cannot pass.
     """
     spark = texts.sparkSession
-    pairs = found.select("entity", "key", F.explode("beside").alias("term")).distinct()
-    both = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
-    anywhere = pairs.select("term", "key").distinct().groupBy("term").agg(F.count("*").alias("n_beside"))
-    likely = common.written(both.join(anywhere, "term").where(F.col("n_et") >= posterior * F.col("n_beside")).select("entity", "term", "n_et"), "likely")
+    total = texts.select("key").distinct().count()
+    per_entity = common.written(found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") > 1), "classes")
+    beside = common.written(found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_beside")), "beside")
+    tried = F.log2(F.lit(float(max(1, beside.count()))))
+    prior = F.log2(total / F.col("n_e"))
+    pairs = found.select(F.explode("entities").alias("entity"), "terms").join(F.broadcast(per_entity.where(prior >= bits)), "entity").select("entity", "n_e", F.explode("terms").alias("term"))
+    both = pairs.groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_et")).where((F.col("n_et") > 1) & (F.col("n_et") * prior >= tried))
+    likely = common.written(both.join(beside, "term").where(F.col("n_et") >= posterior * F.col("n_beside")).select("entity", "n_e", "term", "n_et"), "likely")
     if likely.isEmpty():
-        common.drop(likely)
+        common.drop(likely, beside, per_entity)
         return spark.createDataFrame([], "key string, term string")
-    per_entity = found.select("entity", "key").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    total = texts.select("key").distinct().count()
-    holds = common.written(texts.select("key", F.explode(F.array_distinct(_terms(F.col("__text")))).alias("term")).join(likely.select("term").distinct(), "term").distinct(), "holds")
-    counts = holds.groupBy("term").agg(F.count("*").alias("n_t"))
-    share = F.col("n_et") / F.col("n_t")
-    good = likely.join(counts, "term").join(per_entity, "entity").where((share >= posterior) & (F.log2(share * total / F.col("n_e")) >= bits)).select("term").distinct()
-    out = common.written(holds.join(good, "term", "left_semi").select("key", "term"), "disclosing")
-    common.drop(likely, holds)
+    held = lambda rows: rows.select("key", F.explode(F.array_distinct(_terms(F.col("__text")))).alias("term"))
+    counts = held(texts.dropDuplicates(["key"])).groupBy("term").agg(F.count("*").alias("n_all"))
+    inside = found.select(F.explode("inside").alias("term")).groupBy("term").agg(F.count("*").alias("n_in"))
+    known = likely.join(counts, "term").join(inside, "term", "left").withColumn("share", F.col("n_et") / (F.col("n_all") - F.coalesce("n_in", F.lit(0))))
+    gain = F.log2(F.col("share") * total / F.col("n_e"))
+    good = common.written(known.where((F.col("share") >= posterior) & (gain >= bits) & (F.col("n_et") * gain >= tried)).select("term").distinct(), "good")
+    out = common.written(held(texts).join(F.broadcast(good), "term", "left_semi").select("key", "term").distinct(), "disclosing")
+    common.drop(likely, beside, per_entity, good)
     return out
 
 
@@ -140,8 +153,10 @@ def find(docs: DataFrame, **thresholds) -> DataFrame:
     docs = docs.drop("__text", "__key", *[f"s_{k}" for k in (*KINDS, "term")])
     rows = docs.withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("__key", F.md5("__text"))
     based = with_base_spans(rows.select("__key", "__text"))
-    entities = F.concat(*[F.transform(F.col(f"s_{k}"), _entity(k)) for k in KINDS])
-    found = common.written(based.where(" or ".join(f"size(s_{k}) > 0" for k in KINDS)).select(F.col("__key").alias("key"), F.explode(entities).alias("e")).select("key", "e.entity", "e.beside"), "entities")
+    entities = F.array_distinct(F.flatten(F.concat(*[F.transform(F.col(f"s_{k}"), _entities(k)) for k in KINDS])))
+    outside = F.array_distinct(_terms(_marked(F.col("__text"), _marks(KINDS, lambda kind: " "))))
+    found = based.where(" or ".join(f"size(s_{k}) > 0" for k in KINDS)).select(F.col("__key").alias("key"), entities.alias("entities"), outside.alias("terms"), F.array_except(F.array_distinct(_terms(F.col("__text"))), outside).alias("inside"))
+    found = common.written(found.dropDuplicates(["key"]), "entities")
     terms = disclosing_terms(found, rows.select(F.col("__key").alias("key"), "__text"), **thresholds)
     common.drop(found)
     words = terms.groupBy("key").agg(F.sort_array(F.collect_set("term")).alias("words"))
@@ -174,13 +189,6 @@ def digest(docs: DataFrame, **thresholds) -> DataFrame:
 def redact(docs: DataFrame, **thresholds) -> DataFrame:
     """docs with every span of text replaced by its kind in brackets, overlapping spans by the first; same columns. Null texts stay null."""
     found = find(docs, **thresholds)
-    one = lambda kind: lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"[{kind.upper()}]").alias("mark"))
-    marks = F.sort_array(F.concat(*[F.transform(F.col(f"s_{k}"), one(k)) for k in (*KINDS, "term")]))
-    text = F.col("text")
-
-    def step(acc, s):
-        cut = F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.when(s["start"] >= acc["at"], s["mark"]).otherwise(F.lit("")))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), cut.alias("out"))
-
-    clean = F.aggregate(marks, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    text, marks = F.col("text"), _marks((*KINDS, "term"), lambda kind: f"[{kind.upper()}]")
+    clean = _marked(text, marks)
     return found.withColumn("text", F.when(F.size(marks) > 0, clean).otherwise(text)).select(*docs.columns)

@@ -149,6 +149,22 @@ def test_pii(spark):
     assert pii.digest(docs(spark, [(1, long, "")])).first()["n_email"] == 1
 
 
+def test_disclosing_terms_of_rare_entities(spark):
+    """Entities that stand in one text each, or in two, and terms far away from them."""
+    far = lambda i: words(30, 3000 + i)
+    rows = [(i, f"Quillon {far(i)} u{i}@h{i}.org", "") for i in range(4)] + [(10, f"{far(10)} Quillon", "")]
+    rows += [(20 + i, f"Brackwell {far(20 + i)} 10.20.30.40 {far(40 + i)}", "") for i in range(2)]
+    rows += [(60, f"Solitary {far(60)} a@lone.net", ""), (61, f"{far(61)} org", "")] + [(100 + i, far(100 + i), "") for i in range(90)]
+    copies = [(500 + i, rows[7][1], "") for i in range(3)]
+    got = {r["doc_id"]: r["spans"] for r in pii.digest(docs(spark, [*rows, *copies])).collect()}
+    place = lambda i, w: f"term:{(at := next(t for k, t, _ in rows if k == i).index(w))}:{at + len(w)}"
+    for i in (0, 1, 2, 3, 10):
+        assert place(i, "Quillon") in got[i]
+    for i in (20, 21):
+        assert place(i, "Brackwell") in got[i]
+    assert all("term:" not in got[i] for i in (60, 61, *range(100, 190)))
+
+
 def test_mixing(spark, odd):
     rows = [*odd, *[(100 + i, words(20 + i, i), "abc"[i % 3]) for i in range(60)]]
     got = mixing.mix(docs(spark, rows)).toPandas()
