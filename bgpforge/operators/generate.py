@@ -28,12 +28,29 @@ def sample_terms(graph: DataFrame, column: str, n: int, seed: int) -> DataFrame:
 
 
 def stars(graph: DataFrame, size: int, n: int, seed: int = 0, bound: float = 0.2) -> DataFrame:
-    """(query, y): stars of `size` predicates around sampled subjects, some objects bound, with their true number of solutions at the subject."""
+    """(query, y): stars of `size` predicates around sampled subjects, some objects bound, with their true number of solutions over the graph."""
     picked = sample_terms(graph, "s", n, seed)
-    of = graph.join(picked, F.col("s") == F.col("term")).groupBy("s", "p").agg(F.min("o").alias("o"), F.count("*").alias("c"))
-    arms = of.groupBy("s").agg(F.sort_array(F.collect_list(F.struct(uniform(seed, "s", "p").alias("u"), "p", "o", "c"))).alias("arms")).where(F.size("arms") >= size).withColumn("arms", F.slice("arms", 1, size))
-    text = lambda x, i: F.concat(F.lit("?s "), x["p"], F.when(x["u"] < bound, F.concat(F.lit(" "), x["o"])).otherwise(F.concat(F.lit(" ?o"), i.cast("string"))), F.lit(" ."))
-    return arms.select(F.concat(F.lit("SELECT * WHERE { "), F.array_join(F.transform("arms", text), " "), F.lit(" }")).alias("query"), F.aggregate("arms", F.lit(1).cast("long"), lambda a, x: a * F.when(x["u"] < bound, 1).otherwise(x["c"])).alias("y"))
+    of = graph.join(picked, F.col("s") == F.col("term")).groupBy("s", "p").agg(F.min("o").alias("o"))
+    arms = of.groupBy("s").agg(F.sort_array(F.collect_list(F.struct(uniform(seed, "s", "p").alias("u"), "p", "o"))).alias("arms")).where(F.size("arms") >= size)
+    arms = arms.select("s", F.transform(F.slice("arms", 1, size), lambda x: F.struct(x["p"].alias("p"), F.when(x["u"] < bound, x["o"]).alias("o"))).alias("arms"))
+    text = lambda x, i: F.concat(F.lit("?s "), x["p"], F.coalesce(F.concat(F.lit(" "), x["o"]), F.concat(F.lit(" ?o"), i.cast("string"))), F.lit(" ."))
+    counts = star_counts(graph, arms.select(F.col("s").alias("star"), "arms"))
+    query = F.concat(F.lit("SELECT * WHERE { "), F.array_join(F.transform("arms", text), " "), F.lit(" }")).alias("query")
+    return arms.join(counts, F.col("s") == F.col("star")).select(query, "y")
+
+
+def star_counts(graph: DataFrame, workload: DataFrame) -> DataFrame:
+    """(star, y): solutions over all subjects of stars (star, arms) with arms (p, o), predicates distinct and o null where the object is free.
+
+    One pass over the graph for the whole workload: solutions of each distinct arm at each subject, then for each star the sum over subjects
+    of their product. Stars without solutions give no row.
+    """
+    wanted = workload.select("star", F.size("arms").alias("size"), F.explode("arms").alias("arm")).select("star", "size", F.col("arm.p").alias("wp"), F.col("arm.o").alias("wo"))
+    distinct = wanted.select("wp", "wo").distinct()
+    at = graph.join(F.broadcast(distinct), (F.col("p") == F.col("wp")) & (F.col("wo").isNull() | (F.col("o") == F.col("wo")))).groupBy("s", "wp", "wo").agg(F.count("*").alias("c"))
+    met = at.withColumnsRenamed({"wp": "ap", "wo": "ao"}).join(F.broadcast(wanted), (F.col("ap") == F.col("wp")) & F.col("ao").eqNullSafe(F.col("wo")))
+    each = met.groupBy("star", "s", "size").agg(F.count("*").alias("arms"), F.collect_list("c").alias("c")).where("arms = size")
+    return each.groupBy("star").agg(F.sum(F.aggregate("c", F.lit(1).cast("long"), lambda a, x: a * x)).alias("y"))
 
 
 def paths(graph: DataFrame, size: int, n: int, seed: int = 0) -> DataFrame:

@@ -27,6 +27,20 @@ def test_golden(spark):
     assert Q.QUERIES["execution_signal"](spark, DATA).first()["per_join_rows"][-1] == 1194
 
 
+def test_stars_count_over_the_graph(spark):
+    """y is the number of solutions of the query itself, at every subject."""
+    from bgpforge.operators import evaluate as E
+    from bgpforge.operators import generate as G
+    from bgpforge.plans import bgp as P
+
+    rows = [(f"<s{i}>", f"<p{k}>", f"<o{(i * k + j) % 5}>") for i in range(12) for k in range(1, 5) for j in range(1 + (i + k) % 3) if (i + k) % 4]
+    g = spark.createDataFrame(rows, "s string, p string, o string").cache()
+    got = [r for seed in (1, 2) for r in G.stars(g, 2, 4, seed, bound=0.4).collect()]
+    assert got and any("<o" in r["query"] for r in got)
+    for r in got:
+        assert r["y"] == E.evaluate(g, P.parse(r["query"], {})).count()
+
+
 def test_ntriples_round_trip(spark, tmp_path):
     g = spark.createDataFrame([("<a>", "<p>", '"x y"'), ("<a>", "<p>", "<b>")], "s string, p string, o string")
     graph.write_ntriples(g, str(tmp_path / "g"))
