@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -23,13 +23,23 @@ def training(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remai
     return docs.where("doc_id is not null and text is not null").join(F.broadcast(some[0].unionAll(some[1])), "doc_id").select("doc_id", "text", "y")
 
 
-def first_of_each(rows: DataFrame, most: int) -> dict[int, list]:
-    """At most `most` rows of each label, those with the smallest hash of doc_id: a bounded, repeatable sample."""
-    return {y: rows.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect() for y in (0, 1)}
+def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int, most: int, characters: int) -> dict[int, list[str]]:
+    """The texts of each label to learn from: those with the smallest hash of doc_id, a bounded, repeatable sample.
+
+    At most `most` of each label, and as many as begin within the first `characters` of their characters together, the bound of what the driver gets.
+    """
+    rows = training(docs, labels, label, modulus, remainder, most).select("y", "text", F.xxhash64("doc_id").alias("draw"), F.length("text").alias("size"))
+    # A window over 2 x most rows at most.
+    before = F.sum("size").over(Window.partitionBy("y").orderBy("draw", "text").rowsBetween(Window.unboundedPreceding, -1))
+    found = rows.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < characters).orderBy("draw", "text").select("y", "text").collect()
+    return {y: [r["text"] for r in found if r["y"] == y] for y in (0, 1)}
 
 
-def logistic_fit(values, labels, width: int, weight: float = 1e-2):
-    """(slopes, shift) of a logistic curve through rows of `width` values and labels, with smoothed targets."""
+def logistic_fit(values, labels, width: int, weight: float = 1e-2, even: bool = False):
+    """(slopes, shift) of a logistic curve through rows of `width` values and labels, with smoothed targets.
+
+    With `even`, both labels weigh alike as a whole, however rare one is.
+    """
     import numpy as np
 
     y = np.asarray(labels, "f8")
@@ -41,15 +51,16 @@ def logistic_fit(values, labels, width: int, weight: float = 1e-2):
     spread[spread == 0] = 1.0
     t = np.where(y > 0, (up + 1) / (up + 2), 1 / (down + 2))
     design = np.column_stack([(x - mean) / spread, np.ones(len(x))])
+    count = np.where(y > 0, len(y) / (2 * up), len(y) / (2 * down)) if even else np.ones(len(y))
     w = np.zeros(design.shape[1])
 
     def loss(w):
         s = design @ w
-        return (np.logaddexp(0, s) - t * s).sum() + weight * (w @ w) / 2
+        return (count * (np.logaddexp(0, s) - t * s)).sum() + weight * (w @ w) / 2
 
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -500, 500)))
-        step = np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]) + weight * np.eye(len(w)), design.T @ (p - t) + weight * w)
+        step = np.linalg.solve(design.T @ (design * (count * p * (1 - p))[:, None]) + weight * np.eye(len(w)), design.T @ (count * (p - t)) + weight * w)
         scale, now = 1.0, loss(w)
         while scale > 1e-6 and loss(w - scale * step) > now:
             scale /= 2

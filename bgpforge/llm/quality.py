@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from . import common, labelled
 
-#: Labelled rows of each kind that are learned from, at most; half train dictionaries, half calibrate.
-SAMPLE = 4000
+#: Labelled rows of each kind that are learned from, and their characters, at most; half train dictionaries, half calibrate.
+SAMPLE, CHARACTERS = 4000, 16_000_000
 #: Bytes of a dictionary; bytes of the parts that are compressed apart; level.
 DICTIONARY, PART, LEVEL = 1 << 16, 300, 3
 THRESHOLD, MODULUS, REMAINDER = 0.3, 5, 0
@@ -49,10 +49,9 @@ def dictionary(texts: list[str]) -> bytes:
         return b"".join(parts)[-DICTIONARY:]
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
-    """(good, bad, slopes, shift) from at most `sample` labelled rows of each kind."""
-    found = labelled.first_of_each(labelled.training(docs, labels, "quality", MODULUS, REMAINDER, sample), sample)
-    texts = {y: [r["text"] for r in rows] for y, rows in found.items()}
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, characters: int = CHARACTERS):
+    """(good, bad, slopes, shift) from at most `sample` labelled rows of each kind and about `characters` characters of each (see `labelled.sample`)."""
+    texts = labelled.sample(docs, labels, "quality", MODULUS, REMAINDER, sample, characters)
     good, bad = dictionary(texts[1][::2]), dictionary(texts[0][::2])
     both = Compressors(good, bad)
     rest = [(both.differences(x), y) for y in (0, 1) for x in texts[y][1::2]]

@@ -190,3 +190,58 @@ def test_classifiers(spark):
         assert all(0 <= r["score"] <= 1 for r in got.values())
         assert module.classify(empty(spark), labels).count() == 0
         assert module.classify(docs(spark, rows[:3]), labels.where("doc_id < 0")).count() == 3
+
+
+def test_subsequence_kernel():
+    """The kernel against a direct count of gapped subsequences."""
+    from itertools import combinations
+
+    def direct(a, b):
+        def features(w):
+            w, out = "\n" + w, {}
+            for x in combinations(range(len(w)), toxicity.ORDER):
+                if x[-1] - x[0] < toxicity.SPAN and all(i == 0 or w[i].isalnum() for i in x):
+                    key = "".join(w[i] for i in x)
+                    out[key] = out.get(key, 0.0) + toxicity.DECAY ** (x[-1] - x[0] + 1)
+            return out
+
+        x, y = features(a), features(b)
+        dot = lambda p, q: sum(v * q.get(k, 0.0) for k, v in p.items())
+        low = (dot(x, x) * dot(y, y)) ** 0.5
+        k = dot(x, y) / low if low else 0.0
+        return k**toxicity.POWER if k >= toxicity.FLOOR else 0.0
+
+    marks = ["idiot", "worthless", "réeux", "anananan", "a"]
+    some = ["idiot", "i.d.i.o.t", "idxiot", "idi*ot", "worthles", "réeuxment", "banana", "", "x", "***", "IDIOT".lower() * 3, "中文字符"]
+    got = toxicity.Landmarks(marks).kernels(some)
+    want = [[direct(a, b) for b in marks] for a in some]
+    assert np.allclose(got, want, atol=2e-3)
+    assert got[1][0] > 0.25 and got[2][0] > 0.1 and got[0][0] > 0.999
+
+
+def test_toxicity_of_languages_and_spellings(spark):
+    """Held-out recall and specificity for each language, spelled-out insults, and a hard negative: one telling word in a long clean text."""
+    draw = random.Random(8)
+    speech = {"a": ["onra", "theo", "ing", "bel", "sta", "mor"], "b": ["lich", "kei", "ung", "sch", "end", "ver"]}
+    insult = {"a": ["qopwvx", "zuckrab"], "b": ["achfel", "grubko"]}
+    rows, marks, kind = [], [], {}
+    for i in range(500):
+        of, bad = "ab"[i % 2], i % 5 == 0
+        text = [draw.choice(speech[of]) + draw.choice(speech[of]) for _ in range(200)]
+        for at in draw.sample(range(200), 5 if bad else int(i % 3 == 0)):
+            text[at] = draw.choice(insult[of]) + (draw.choice(speech[of]) if of == "b" else "")
+        rows.append((i, " ".join(text), of))
+        marks.append((i, 1, int(bad)))
+        kind[i] = of, bad
+    rows += [(1000, " ".join(rows[1][1].split()[:100] + [".".join("qopwvx"), "q o p w v x", "qop*wvx", "zuck-rab"] * 2), "a"), (1001, None, "a"), (1002, "word " * 200_000, "a")]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.classify(docs(spark, rows), labels).collect()}
+    for of in "ab":
+        for bad in (True, False):
+            held = [i for i, k in kind.items() if k == (of, bad) and got[i]["held_out"]]
+            assert sum(got[i]["predicted"] == int(bad) for i in held) >= 0.9 * len(held), (of, bad)
+    assert got[1000]["predicted"] == 1 and got[1001]["predicted"] == 0 and got[1002]["predicted"] == 0
+    kept = toxicity.reject(docs(spark, rows).withColumn("score", F.lit(7)), labels)
+    assert kept.columns == ["doc_id", "text", "source", "key", "score"]
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if r["predicted"] == 0}
+    assert toxicity.reject(empty(spark), labels).count() == 0
