@@ -4,14 +4,19 @@ A set's signature has COORDINATES coordinates, each of ROWS minima: two sets of
 probability s^4. Documents are posted under each coordinate-value pair. Pairs that agree in fewer than AGREE coordinates are left out: at
 similarity 0.85 a pair misses that with probability 6e-7, at 0.8 with 6e-5, more similar ones hardly ever. A pair with AGREE = 2 agreeing
 coordinates has its first one among all but the last: that prefix is posted. Candidates of a list must also collide in LANES single minima as often as the
-threshold makes likely, less 4.7 standard deviations (`matches`), and are then confirmed on their full sets. Lists with too many pairs of different groups are skipped, and their
-documents are posted again under the second agreeing coordinate. Lists of more than
-SMALL documents are compared in blocks, which give stars of candidates, not pairs; the full sets of a candidate component are again compared in
-blocks, which give links that join groups.
+threshold makes likely, less 4.7 standard deviations (`matches`), and are then confirmed on their full sets.
+
+A list whose documents are all of one group already is merged and gone: one round compares a document of each list of the first coordinates
+with the others of it, which settles most lists of copies. Lists of other groups are compared whole: with a join up to SMALL documents, else in blocks of documents of like size,
+inside a task, without a row for a pair. Lists with more than WHOLE different documents to compare for each of theirs, those of very common
+passages, are skipped, and their documents are posted again under the second coordinate that they share with anyone. The full sets of a candidate component
+are again compared in blocks, which give links that join groups.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,16 +25,16 @@ from . import common
 COORDINATES, ROWS, AGREE = 24, 4, 2
 #: Single minima that are compared, seven to a long.
 LANES = 91
-#: A list with at most this many pairs of different groups for each of its documents is compared pair by pair.
-SHORT = 32
-#: Ids of candidates that are sent to every executor; more of them are joined.
-BROADCAST = 1_000_000
+#: A list in which a document has at most this many others of another group, on average, is compared whole.
+WHOLE = 4000
 #: Documents of one side of a block of candidates.
 SIDE = 400
 #: Lists of at most so many documents are compared by a join; documents of one side of a block of a longer list.
 SMALL, WIDE = 16, 2000
 #: Coordinates (first ones) whose lists are compared with one of their documents ahead of all else, to group copies early.
 EARLY = 3
+#: Classes of equal sets that are sent to every executor, at most: those with so large a share of all rows that no more can exist.
+HOT = 4096
 _SEVEN = 0x007F7F7F7F7F7F7F
 _HIGH = 0x0080808080808080
 
@@ -244,44 +249,38 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     Returns a row (doc_id, n_shingles, component_id, kept) for each row of docs; component_id is the smallest doc_id reachable by
     links. A null, empty or blank text has no shingles and links with nothing. A text of fewer than `width` words is one
     shingle. Rows that share a doc_id are one document: the links of any count. A row without doc_id links with nothing, has a null component and is kept. Empty
-    tables give no rows.
+    tables give no rows. Other columns of docs, of any name, are not looked at.
 
-    Equal sets are one node. Links are confirmed on full sets. For each posting list of the first EARLY coordinates a document of it is compared with all others,
-    which settles most lists of copies; all lists with documents of different groups go on, short ones with every pair
-    of different groups, long ones under a second agreeing coordinate.
+    Equal sets are one node. Links are confirmed on full sets.
     """
-    rows = common.written(features(docs, width), "features")
-    full = rows.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "h1", "h2", "coordinates", "lanes")
-    classes = common.written(full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
     packs = [f"p{i}" for i in range(LANES // 7)]
-    nodes = full.join(classes.withColumnRenamed("rep", "doc_id"), ["h1", "h2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "h1", "h2"])
-    nodes = common.written(nodes.select(F.col("doc_id").alias("id"), "h1", "h2", F.col("n_shingles").alias("n"), "coordinates", *[F.element_at("lanes", i + 1).alias(c) for i, c in enumerate(packs)]), "nodes")
     texts = common.documents(docs)
+    rows = common.written(features(docs, width), "features")
+    full = rows.where("n_shingles > 0 and doc_id is not null")
+    # All rows of a class have equal features, so any will do; equal rows meet as partial aggregates.
+    nodes = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("coordinates").alias("coordinates"), F.first("lanes").alias("lanes"))
+    nodes = common.written(nodes.select("id", "h1", "h2", "n", "copies", "coordinates", *[F.element_at("lanes", i + 1).alias(c) for i, c in enumerate(packs)]), "nodes")
+    told = nodes.select("id", "n", *packs)
 
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        """(doc_id, hashes) of the wanted nodes (doc_id)."""
-        wanted = common.written(wanted, "wanted")
-        few = wanted.count() <= BROADCAST
-        ids = nodes.select(F.col("id").alias("doc_id"), "h1", "h2")
-        sets = common.written(_sets(texts.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi"), width).join(ids, ["doc_id", "h1", "h2"], "left_semi").dropDuplicates(["doc_id", "h1", "h2"]).select("doc_id", "hashes"), "sets")
-        common.drop(wanted)
-        return sets
-
-    def settled(links: DataFrame) -> DataFrame:
+    def settled(links: DataFrame, groups: DataFrame) -> DataFrame:
         """Links that join the groups of similar documents within each component of candidate links (a, b)."""
         links = common.written(links.distinct(), "candidates")
         if links.isEmpty():
             return links
         parts = common.components(links)
         sizes = parts.groupBy("component").agg(F.ceil(F.count("*") / SIDE).alias("slices"))
-        grouped = groups.select("node", F.col("component").alias("in_group"))
-        members = parts.join(sizes, "component").join(grouped, "node", "left").select(F.col("node").alias("id"), "component", "slices", F.coalesce("in_group", "node").alias("in_group"))
-        members = common.written(members.join(told, "id"), "members")
-        sets = sets_of(members.select(F.col("id").alias("doc_id")))
-        spread = members.join(sets.withColumnRenamed("doc_id", "id"), "id").withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
+        members = parts.join(sizes, "component").join(groups.withColumnRenamed("component", "in_group"), "node", "left")
+        members = members.select(F.col("node").alias("id"), "component", "slices", F.coalesce("in_group", "node").alias("in_group"))
+        members = common.written(members.join(nodes.select("id", "h1", "h2", "n", *packs), "id"), "members")
+        # Texts of the members only are split into shingles again: full sets are too large to be kept for all.
+        # Their ids stand in a table of their own: while its size allows, it is broadcast and no text is shuffled.
+        wanted = common.written(members.select(F.col("id").alias("doc_id")), "wanted")
+        again = _sets(texts.join(wanted, "doc_id", "left_semi"), width)
+        sets = common.written(again.join(members.select(F.col("id").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"], "left_semi").dropDuplicates(["doc_id", "h1", "h2"]).select(F.col("doc_id").alias("id"), "hashes"), "sets")
+        spread = members.join(sets, "id").withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
         spread = spread.select(F.xxhash64("component", F.least("slice", "other"), F.greatest("slice", "other")).alias("block"), (F.col("slice") > F.col("other")).cast("int").alias("side"), "id", "n", "in_group", *packs, "hashes")
         out = common.written(spread.repartition("block").sortWithinPartitions("block").mapInArrow(_component_blocks(percent), "a long, b long"), "confirmed")
-        common.drop(links, parts, members, sets)
+        common.drop(links, parts, members, wanted, sets)
         return out
 
     def alike(a, b):
@@ -299,52 +298,69 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # Rows that share a doc_id but not their set join the groups of both sets.
     twice = full.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
     twice = common.written(twice, "twice")
-    groups = common.components(full.join(twice, "doc_id", "left_semi").join(classes, ["h1", "h2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
-    told = nodes.select("id", "n", *packs)
+    groups = common.components(full.join(twice, "doc_id", "left_semi").join(nodes.select("h1", "h2", "id"), ["h1", "h2"]).select(F.col("doc_id").alias("a"), F.col("id").alias("b")))
+
+    # One document of each list of the first coordinates is compared with all others of it.
+    early = nodes.select("id", "n", *packs, F.explode(F.slice("coordinates", 1, EARLY)).alias("key"))
+    hubs = early.withColumn("draw", F.xxhash64("key", "id")).groupBy("key").agg(F.count("*").alias("many"), *[F.min_by(c, "draw").alias(f"h{c}") for c in ("id", "n", *packs)]).where("many > 1")
+    star = early.join(hubs, "key").where(F.col("id") != F.col("hid")).where(alike("", "h"))
+    groups = grown(groups, settled(star.select(F.least("id", "hid").alias("a"), F.greatest("id", "hid").alias("b")), groups))
+
+    def grouped(frame: DataFrame) -> DataFrame:
+        return frame.join(groups.withColumnRenamed("node", "id").withColumnRenamed("component", "in_group"), "id", "left").withColumn("in_group", F.coalesce("in_group", "id"))
 
-    def shared(posts: DataFrame) -> DataFrame:
-        """The posts (key, last, id) whose list holds others, with what filters pairs."""
-        keys = posts.groupBy("key").agg(F.count("*").alias("many")).where("many > 1").select("key")
-        return common.written(posts.join(keys, "key", "left_semi").join(told, "id"), "posts")
+    def mixed(posts: DataFrame) -> DataFrame:
+        """The posts (key, last, id, in_group) in lists of different groups."""
+        keys = posts.groupBy("key").agg(F.min("in_group").alias("low"), F.max("in_group").alias("high")).where("low != high").select("key")
+        return common.written(posts.join(keys, "key", "left_semi"), "posts")
 
-    first = nodes.select("id", F.posexplode(F.slice("coordinates", 1, COORDINATES - AGREE + 1)).alias("last", "key"))
-    posts = shared(first.select("key", "last", "id"))
+    posts = mixed(grouped(nodes.select("id", "coordinates")).select("id", "in_group", F.posexplode(F.slice("coordinates", 1, COORDINATES - AGREE + 1)).alias("last", "key")).select("key", "last", "id", "in_group"))
     for depth in range(1, AGREE + 1):
-        # One document of each list of the first coordinates, another in each list, is compared with all others.
-        early = posts.where((F.col("last") < EARLY) if depth == 1 else F.lit(False))
-        hubs = early.withColumn("draw", F.xxhash64("key", "id")).groupBy("key").agg(*[F.min_by(c, "draw").alias(f"h{c}") for c in ("id", "n", *packs)])
-        star = early.join(hubs, "key").where(F.col("id") != F.col("hid")).where(alike("", "h"))
-        groups = grown(groups, settled(star.select(F.least("id", "hid").alias("a"), F.greatest("id", "hid").alias("b"))))
-        named = posts.join(groups, F.col("id") == F.col("node"), "left").select("key", "last", "id", "n", *packs, F.coalesce("component", "id").alias("in_group"))
-        named = common.written(named, "named")
-        common.drop(posts)
         # Pairs of different groups are left; the largest group of a list needs no comparison with itself.
-        sizes = named.groupBy("key", "in_group").agg(F.count("*").alias("rows"))
-        lists = sizes.groupBy("key").agg(F.sum("rows").alias("many"), F.sum(F.col("rows") * F.col("rows")).alias("squares"), F.max_by("in_group", "rows").alias("main"), F.max("rows").alias("most"), F.count("*").alias("parts")).where("parts > 1")
-        lists = common.written(lists.select("key", "main", (F.col("many") <= SMALL).alias("small"), F.ceil((F.col("many") - F.col("most")) / WIDE).alias("lefts"), F.ceil(F.col("many") / WIDE).alias("rights"), (F.col("many") * F.col("many") - F.col("squares") <= 2 * SHORT * F.col("many")).alias("short")), "lists")
-        now = lists.where("short") if depth < AGREE else lists
-        tried = named.join(now, "key")
+        sizes = posts.groupBy("key", "in_group").agg(F.count("*").alias("rows"))
+        lists = sizes.groupBy("key").agg(F.sum("rows").alias("many"), F.sum(F.col("rows") * F.col("rows")).alias("squares"), F.max_by("in_group", F.struct("rows", "in_group")).alias("main"), F.max("rows").alias("most"))
+        slices = lambda n: F.ceil(n / WIDE)
+        lists = common.written(lists.select("key", "main", (F.col("many") <= SMALL).alias("small"), slices(F.col("many") - F.col("most")).alias("lefts"), slices(F.col("many")).alias("rights"), (F.col("many") * F.col("many") - F.col("squares") <= WHOLE * F.col("many")).alias("whole")), "lists")
+        now = lists.where("whole") if depth < AGREE else lists
+        tried = common.written(posts.join(now, "key").join(told, "id"), "tried")
         less = tried.where("small and in_group != main").select("key", "main", *[F.col(c).alias(f"l{c}") for c in ("id", "n", *packs, "in_group")])
-        every = named.select("key", *[F.col(c).alias(f"r{c}") for c in ("id", "n", *packs, "in_group")])
+        every = tried.where("small").select("key", *[F.col(c).alias(f"r{c}") for c in ("id", "n", *packs, "in_group")])
         pairs = less.join(every, "key").where("lin_group != rin_group and (rin_group = main or lid < rid)").where(alike("l", "r")).select(F.col("lid").alias("a"), F.col("rid").alias("b"))
-        # Longer lists go in blocks: documents outside the main group against all.
+        # Longer lists go in blocks: documents outside the main group against all of like size. Sizes lie in bands as wide as the threshold allows, so like ones
+        # are in the same band or in neighbouring ones.
+        band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(percent / 100) + 1e-9))
         slot = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
         each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-        sides = [tried.where("not small and in_group != main").withColumn("x", slot("lefts")).withColumn("y", each("rights")).withColumn("side", F.lit(0)), tried.where("not small").withColumn("y", slot("rights")).withColumn("x", each("lefts")).withColumn("side", F.lit(1))]
-        sides = [x.select(F.xxhash64("key", "x", "y").alias("block"), "side", "id", "n", "in_group", *packs) for x in sides]
+        longer = tried.where("not small").withColumn("band", band)
+        left = longer.where("in_group != main").withColumn("x", slot("lefts")).withColumn("y", each("rights")).withColumn("side", F.lit(0))
+        left = left.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+        right = longer.withColumn("y", slot("rights")).withColumn("x", each("lefts")).withColumn("side", F.lit(1))
+        sides = [x.select(F.xxhash64("key", "band", "x", "y").alias("block"), "side", "id", "n", "in_group", *packs) for x in (left, right)]
         stars = sides[0].unionAll(sides[1]).repartition("block").sortWithinPartitions("block").mapInArrow(_list_blocks(percent), "a long, b long")
-        groups = grown(groups, settled(pairs.unionAll(stars)))
-        long = lists.where("not short")
+        groups = grown(groups, settled(pairs.unionAll(stars), groups))
+        common.drop(tried)
+        long = lists.where("not whole").select("key")
         if depth == AGREE or long.isEmpty():
-            common.drop(named, lists)
+            common.drop(posts, lists)
             break
-        again = named.select("key", "last", "id").join(long.select("key"), "key", "left_semi").join(nodes.select("id", F.posexplode("coordinates").alias("next", "value")), "id")
-        posts = shared(again.where("next > last").select(F.xxhash64("key", "value").alias("key"), F.col("next").alias("last"), "id"))
-        common.drop(named, lists)
-    common.drop(nodes)
-    by_set = classes.join(groups, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
-    out = rows.join(by_set, ["h1", "h2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        # A pair that agrees twice meets in both lists, so the second coordinate is sought among the node's posts in lists of different groups.
+        first = posts.join(long, "key", "left_semi").select("key", "last", "id")
+        second = posts.select("id", F.col("last").alias("next"), F.col("key").alias("value")).unionAll(nodes.select("id", F.lit(COORDINATES - 1).alias("next"), F.element_at("coordinates", COORDINATES).alias("value")))
+        pairs_of = first.join(second, "id").where("next > last").select("id", F.xxhash64("key", "value").alias("key"), F.col("next").alias("last"))
+        after = mixed(grouped(pairs_of).select("key", "last", "id", "in_group"))
+        common.drop(posts, lists)
+        posts = after
+    by_set = nodes.select("h1", "h2", "copies", F.col("id").alias("node")).join(groups, "node", "left").select("h1", "h2", "copies", F.coalesce("component", "node").alias("component"))
+    by_set = common.written(by_set, "by_set")
+    # At most HOT classes hold more than a HOT-th of the rows each; they go to every executor, so that no class meets in one task.
+    least = full.count() / HOT
+    hot, cold = by_set.where(F.col("copies") > least).drop("copies"), by_set.where(F.col("copies") <= least).drop("copies")
+    plain = rows.select("doc_id", "n_shingles", "h1", "h2")
+    linked, alone = plain.where("n_shingles > 0 and doc_id is not null"), plain.where("n_shingles = 0 or doc_id is null")
+    rest = linked.join(F.broadcast(hot.select("h1", "h2")), ["h1", "h2"], "left_anti").join(cold, ["h1", "h2"])
+    out = [x.select("doc_id", "n_shingles", F.col(c).alias("component_id")) for x, c in ((linked.join(F.broadcast(hot), ["h1", "h2"]), "component"), (rest, "component"), (alone, "doc_id"))]
+    common.drop(nodes, twice)
+    return out[0].unionAll(out[1]).unionAll(out[2]).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -245,3 +245,44 @@ def test_toxicity_of_languages_and_spellings(spark):
     assert kept.columns == ["doc_id", "text", "source", "key", "score"]
     assert {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if r["predicted"] == 0}
     assert toxicity.reject(empty(spark), labels).count() == 0
+
+
+def components_by_brute_force(rows, width, percent):
+    """{doc_id: (n_shingles, component)} from all pairs' full sets."""
+    sets = {}
+    for i, text in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+        sets[i] = {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set()
+    root = {i: i for i in sets}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            shared = len(sets[i] & sets[j])
+            if i < j and shared and 100 * shared >= percent * len(sets[i] | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    return {i: (len(sets[i]), root[i]) for i in sets}
+
+
+@pytest.mark.parametrize("bounds", [{}, {"SMALL": 3, "WIDE": 8, "SIDE": 7, "WHOLE": 2, "EARLY": 1, "HOT": 1}])
+def test_near_duplicates_by_brute_force(spark, monkeypatch, bounds):
+    """Families of copies around the threshold, copies of a third of the rows, a passage that many share; every path, by lowered bounds."""
+    for name, value in bounds.items():
+        monkeypatch.setattr(minhash_dedup, name, value)
+    draw, rows = random.Random(12), []
+    passage = words(45, 99)
+    for family in range(6):
+        base = words(60 + 15 * family, family).split()
+        for _ in range(18):
+            copy = list(base)
+            for at in draw.sample(range(len(copy)), draw.randint(0, 4)):
+                copy[at] = words(1, draw.random())
+            rows.append(" ".join(copy))
+    rows += [rows[0]] * 40 + [f"{passage} {words(draw.randint(1, 14), 1000 + i)}" for i in range(40)] + [words(30, 2000 + i) for i in range(20)] + ["", None, " \t", "one", "One", "one two"]
+    draw.shuffle(rows)
+    rows = list(enumerate(rows))
+    table = spark.createDataFrame([(i, t, i, "x") for i, t in rows], "doc_id long, text string, id long, in_group string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash_dedup.near_duplicates(table, 3, 85).collect()}
+    assert got == components_by_brute_force(rows, 3, 85)
+    if bounds:
+        kept = minhash_dedup.keep_one(table, 3, 85)
+        assert kept.columns == table.columns and {r["doc_id"] for r in kept.collect()} == {i for i, (_, c) in got.items() if i == c}
