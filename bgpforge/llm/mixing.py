@@ -104,4 +104,5 @@ def repeat(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, epoc
     copies = sum((F.when(own <= F.col(f"c.cut{e}"), 1).otherwise(0) for e in range(epochs)), F.lit(0))
     copies = F.when(text.rlike(common.WORD), copies).otherwise(1)
     joined = docs.alias("d").join(cuts.alias("c"), source.eqNullSafe(F.col("c.of")), "left")
-    return joined.select(*[F.col(f"d.{c}") for c in docs.columns], F.explode(F.array_repeat(F.lit(1), copies)).alias("__copy")).select(*docs.columns)
+    rows = joined.select(F.struct(*[F.col(f"d.`{c}`") for c in docs.columns]).alias("row"), F.explode(F.array_repeat(F.lit(1), copies)).alias("copy"))
+    return rows.select("row.*")

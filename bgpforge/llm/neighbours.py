@@ -166,7 +166,7 @@ def search(table: DataFrame, is_query: Column, k: int = K, confidence: float = C
                         near = points[some] @ known.T
                         near[np.array(batch.column(0))[at[some]][:, None] == names[None, :]] = -np.inf
                         kth = np.partition(near, -k, axis=1)[:, -k] if near.shape[1] >= k else np.full(len(some), -np.inf)
-                        bound[part : part + 256] = np.where(np.isfinite(kth), np.maximum(0, 2 - 2 * kth), 4.0) + 1e-12
+                        bound[part : part + 256] = np.where(np.isfinite(kth), np.maximum(0, 2 - 2 * kth), np.inf) + 1e-12
                     whose, leaf = near_leaves(tops[int(dim)], low[asks], limit * bound)
                     out.append((at[asks[whose]], leaf, np.ones(len(whose), bool), bound[whose]))
             take = pa.array(np.concatenate([x[0] for x in out]))

@@ -141,17 +141,16 @@ def disclosing_terms(found: DataFrame, texts: DataFrame, posterior: float = POST
     return out
 
 
-def find(docs: DataFrame, **thresholds) -> DataFrame:
+def _found(docs: DataFrame, **thresholds) -> DataFrame:
     """docs (doc_id, text, any other columns) with `s_email`, `s_ip`, `s_card`, `s_phone` and `s_term` arrays of
     (start, end, value) in code points, ends exclusive, each in order of start.
 
     The first four are the patterns' matches, leftmost and not overlapping in a kind, that pass their checks. s_term holds
     every occurrence, in any document, of terms that disclose an entity (see `disclosing_terms`), where it overlaps no base span.
-    Null texts are empty: no spans. Repeated rows have equal spans, rows without doc_id spans like others; columns
-    of other names stay, and those of the names above and `__key`, `__text` are replaced. Empty tables give no rows.
+    docs is nested in a column `row` beside them and `__text`, so that no name of it matters.
     """
-    docs = docs.drop("__text", "__key", *[f"s_{k}" for k in (*KINDS, "term")])
-    rows = docs.withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("__key", F.md5("__text"))
+    docs = docs.select(F.struct("*").alias("row"), F.col("text").alias("__text"))
+    rows = docs.withColumn("__text", F.coalesce(F.col("__text").cast("string"), F.lit(""))).withColumn("__key", F.md5("__text"))
     based = with_base_spans(rows.select("__key", "__text"))
     entities = F.array_distinct(F.flatten(F.concat(*[F.transform(F.col(f"s_{k}"), _entities(k)) for k in KINDS])))
     outside = F.array_distinct(_terms(_marked(F.col("__text"), _marks(KINDS, lambda kind: " "))))
@@ -166,7 +165,17 @@ def find(docs: DataFrame, **thresholds) -> DataFrame:
     out = with_base_spans(rows).join(places.withColumnRenamed("key", "__key"), "__key", "left")
     base = F.concat(*[f"s_{k}" for k in KINDS])
     apart = F.filter(F.coalesce("places", F.array().cast(f"array<{SPAN}>")), lambda t: ~F.exists(base, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    return out.withColumn("s_term", apart).drop("places", "__key", "__text")
+    return out.withColumn("s_term", apart).drop("places", "__key")
+
+
+def find(docs: DataFrame, **thresholds) -> DataFrame:
+    """docs (doc_id, text, any other columns) with the spans of `_found`.
+
+    Null texts are empty: no spans. Repeated rows have equal spans, rows without doc_id spans like others; columns
+    of any other name stay, and those of the five names are replaced. Empty tables give no rows.
+    """
+    names = [f"s_{k}" for k in (*KINDS, "term")]
+    return _found(docs, **thresholds).select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in names], *names)
 
 
 def written_spans(kinds) -> Column:
@@ -187,8 +196,7 @@ def digest(docs: DataFrame, **thresholds) -> DataFrame:
 
 
 def redact(docs: DataFrame, **thresholds) -> DataFrame:
-    """docs with every span of text replaced by its kind in brackets, overlapping spans by the first; same columns. Null texts stay null."""
-    found = find(docs, **thresholds)
-    text, marks = F.col("text"), _marks((*KINDS, "term"), lambda kind: f"[{kind.upper()}]")
-    clean = _marked(text, marks)
-    return found.withColumn("text", F.when(F.size(marks) > 0, clean).otherwise(text)).select(*docs.columns)
+    """docs with every span of text replaced by its kind in brackets, overlapping spans by the first; same columns, of any names. Null texts stay null."""
+    marks = _marks((*KINDS, "term"), lambda kind: f"[{kind.upper()}]")
+    found = _found(docs, **thresholds).withColumn("clean", F.when(F.size(marks) > 0, _marked(F.col("__text"), marks)).otherwise(F.col("row.text").cast("string")))
+    return found.select(*[F.col("clean").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])

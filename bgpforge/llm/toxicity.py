@@ -80,7 +80,7 @@ class Kernel:
     """Gap-weighted subsequences of words, hashed."""
 
     #: Subsequences of one step: bounds its memory.
-    STEP = 200_000
+    STEP = 50_000
 
     def __init__(self):
         import numpy as np
@@ -204,9 +204,9 @@ def squared_hinge(x, y, cost, decay: float = 1.0):
 class Machine:
     """Values of words, and the three values of a text. Remembers words it has valued, a bounded number."""
 
-    REMEMBERED, STEP = 250_000, 4_000
+    REMEMBERED, STEP = 100_000, 2_000
     #: Words of texts that are valued in one go.
-    BATCH = 200_000
+    BATCH = 50_000
 
     def __init__(self, marks: list[str], weights, noise: float):
         self.marks, self.weights, self.noise, self.known = marks, weights, noise, {}

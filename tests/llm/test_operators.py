@@ -286,3 +286,20 @@ def test_near_duplicates_by_brute_force(spark, monkeypatch, bounds):
     if bounds:
         kept = minhash_dedup.keep_one(table, 3, 85)
         assert kept.columns == table.columns and {r["doc_id"] for r in kept.collect()} == {i for i, (_, c) in got.items() if i == c}
+
+
+def test_columns_of_any_name_pass(spark):
+    names = ["__text", "__key", "m_email", "s_email", "s_term", "places", "row", "copy", "__copy", "words", "cut0", "of", "size", "taken", "ticket"]
+    table = spark.createDataFrame([(i, f"mail u{i}@host.org {words(9, i)}", "ab"[i % 2], *([f"own {i}"] * len(names))) for i in range(6)], "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in names))
+    for changed in (pii.redact(table), mixing.repeat(table)):
+        assert changed.columns == table.columns
+        assert all(r[c] == f"own {r['doc_id']}" for r in changed.collect() for c in names)
+    assert {r["text"][:12] for r in pii.redact(table).collect()} == {"mail [EMAIL]"}
+    assert pii.redact(empty(spark)).count() == 0 and mixing.repeat(empty(spark)).count() == 0
+
+
+def test_few_candidates(spark):
+    """A query whose only candidate is its antipode finds it."""
+    v = [1.0, 2.0, 0.5, 0.1, 0.2, 0.3, 0.4]
+    table = spark.createDataFrame([(50, v), (51, [-x for x in v])], "vec_id long, embedding array<double>")
+    assert [(r["query_id"], r["vec_id"]) for r in neighbours.search(table, F.col("vec_id") % 50 == 0).collect()] == [(50, 51)]
