@@ -52,7 +52,7 @@ def bgp_sql(pattern: P.Bgp, select: str | None = None) -> str:
 
 
 def with_triples(sql: str, more: str = "", recursive: bool = False) -> str:
-    return f"WITH {'RECURSIVE ' * recursive}triples AS ({graph.TRIPLES_SQL}){', ' + more if more else ''} {sql}"
+    return f"WITH {'RECURSIVE ' * recursive}triples AS MATERIALIZED ({graph.TRIPLES_SQL}){', ' + more if more else ''} {sql}"
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

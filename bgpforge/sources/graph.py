@@ -27,22 +27,24 @@ MAPPING = (
 def _branch(predicate, table, subject, value, repeats) -> str:
     iri = lambda kind, column: f"'<urn:{kind}/' || CAST({column} AS STRING) || '>'"
     o = iri(*value) if value[0] else f"'\"' || {value[1]} || '\"'"
-    return f"SELECT {'DISTINCT ' * repeats}{iri(*subject)} AS s, '<urn:p/{predicate}>' AS p, {o} AS o FROM {table}"
+    # What repeats is made distinct as keys, before any text is made of them.
+    rows = f"(SELECT DISTINCT {subject[1]}, {value[1]} FROM {table})" if repeats else table
+    return f"SELECT {iri(*subject)} AS s, '<urn:p/{predicate}>' AS p, {o} AS o FROM {rows}"
 
 
 #: The triples in SQL that Spark and DuckDB share. A graph is a set: only tables whose rows can repeat a triple need DISTINCT.
 TRIPLES_SQL = " UNION ALL ".join(_branch(*x) for x in MAPPING)
 
 
-def register(spark: SparkSession, sf_dir: str) -> None:
-    """Temporary views of the tables, and of `triples`. A constant predicate prunes the view to the tables behind it."""
-    for name in TABLES:
+def register(spark: SparkSession, sf_dir: str, tables=TABLES) -> None:
+    """Temporary views of the tables, those behind `triples` at least, and of `triples`. A constant predicate prunes the view to the tables behind it."""
+    for name in tables:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
     spark.sql(TRIPLES_SQL).createOrReplaceTempView("triples")
 
 
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    register(spark, sf_dir)
+    register(spark, sf_dir, dict.fromkeys(x[1] for x in MAPPING))
     return spark.table("triples")
 
 

@@ -50,3 +50,21 @@ def test_beams_agree_with_search():
     assert P.beam_bushy(chain(3), cards, 10)[0][0] == min(5 + 7, 50 + 7)
     assert P.beam_left_deep(chain(1), cards, 3) == []
     assert P.tree_triples(P.left_deep([0, 1, 2])) == [(1, 0, 0), (2, 0, 0), (3, 0, 0), (4, 1, 2), (5, 4, 3)]
+
+
+def test_left_deep_plan_costs_what_is_reported():
+    """The golden of a chain, and random chains: the order returned has the cost that is returned, and no order is cheaper."""
+    import random
+
+    cards = {(0,): 10, (1,): 20, (2,): 30, (0, 1): 5, (1, 2): 50, (0, 1, 2): 7}
+    chain = P.parse("?a <p> ?b . ?b <q> ?c . ?c <r> ?d .", {})
+    cost, plan = P.dp_search(chain, lambda x: cards[tuple(sorted(x))])[1]
+    assert (cost, list(plan.leaves)) == (22, [0, 1, 2])
+    draw = random.Random(4)
+    for _ in range(40):
+        n = draw.randint(2, 6)
+        bgp = P.parse(" . ".join(f"?v{i} <p{i}> ?v{i + 1}" for i in range(n)) + " .", {})
+        known: dict = {}
+        size = lambda x, known=known: known.setdefault(frozenset(x), draw.randint(1, 1000))
+        cost, plan = P.dp_search(bgp, size)[1]
+        assert plan.left_deep and P.left_deep_cost(plan.leaves, size) == cost == min(P.left_deep_cost(o, size) for o in P.left_deep_orders(bgp))
