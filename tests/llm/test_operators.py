@@ -169,12 +169,49 @@ def test_mixing(spark, odd):
     rows = [*odd, *[(100 + i, words(20 + i, i), "abc"[i % 3]) for i in range(60)]]
     got = mixing.mix(docs(spark, rows)).toPandas()
     for _, g in got.groupby("source", dropna=False):
-        assert g["taken"].sum() == min(int(g["target"].iloc[0] + 1e-9), 2 * g["size"].sum())
+        assert abs(g["taken"].sum() - min(g["target"].iloc[0], 2 * g["size"].sum())) <= mixing.PACKET
+    assert got["taken"].sum() == int(1.5 * got["size"].sum())
     assert abs(got.groupby("source", dropna=False)["target"].first().sum() - 1.5 * got["size"].sum()) < 1e-6 and (got["taken"] <= 2 * got["size"]).all()
     assert mixing.mix(empty(spark)).count() == 0
     assert mixing.repeat(docs(spark, rows)).columns == ["doc_id", "text", "source", "key"]
 
 
+def fair_queue(rows, packet):
+    """Words taken of each doc_id by a plain simulation: water-filling by bisection, one sorted queue, cut at the budget."""
+    import hashlib
+
+    sizes = {i: len(t.split()) for i, t, _ in rows}
+    names = sorted({s for _, _, s in rows if s is not None}) + [None] * any(s is None for _, _, s in rows)
+    weight = dict(zip(names, [3, 1, 2] * len(names), strict=False))
+    total = {s: sum(sizes[i] for i, _, x in rows if x == s) for s in names}
+    low, high = 0.0, 2.0 * sum(total.values())
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(level * weight[s], 2 * total[s]) for s in names) < 1.5 * sum(total.values()) else (low, level)
+    queue = []
+    for s in names:
+        target, at = min(high * weight[s], 2.0 * total[s]), 0
+        mine = sorted((i for i, _, x in rows if x == s), key=lambda i: hashlib.md5(f"mix:{i}".encode()).hexdigest())
+        for i in mine * 2:
+            step = sizes[i] if at + sizes[i] <= target + 1e-6 else packet
+            for k in range(0, sizes[i], step or 1):
+                if at < target - 1e-6:
+                    queue.append(((at + min(k + step, sizes[i])) / target, s is None, s or "", at % total[s], i, min(step, sizes[i] - k)))
+            at += sizes[i]
+    taken, left = dict.fromkeys(sizes, 0), int(1.5 * sum(total.values()))
+    for *_, i, n in sorted(queue):
+        taken[i] += min(n, left)
+        left -= min(n, left)
+    return taken
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_mixing_is_the_cut_queue(spark, seed):
+    rows = [(i, words(random.Random(seed * 1000 + i).choice([3, 17, 40, 333]), i), random.Random(seed + i * 7).choice(["a", "b", "b", "b", "c", "d", None])) for i in range(150)]
+    got = {r["doc_id"]: r["taken"] for r in mixing.mix(docs(spark, rows)).collect()}
+    assert got == fair_queue(rows, mixing.PACKET)
+
+
 def test_classifiers(spark):
     rows, marks = [], []
     for i in range(240):
