@@ -128,6 +128,28 @@ def _settled(edges: DataFrame) -> DataFrame:
     return edges
 
 
+def give_back() -> None:
+    """Return what this Python worker has freed to the system, where its C library can: idle workers live on beside later stages."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def giving_back(make):
+    """The function of batches `make`, followed by `give_back`."""
+
+    def run(batches):
+        yield from make(batches)
+        give_back()
+
+    return run
+
+
 def documents(docs: DataFrame) -> DataFrame:
     """doc_id (long) and text, whatever else the table holds."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -114,7 +114,7 @@ def features(docs: DataFrame, width: int) -> DataFrame:
                 names=["doc_id", "n_shingles", "h1", "h2", "coordinates", "lanes"],
             )
 
-    return common.documents(docs).mapInArrow(make, "doc_id long, n_shingles long, h1 long, h2 long, coordinates array<long>, lanes array<long>")
+    return common.documents(docs).mapInArrow(common.giving_back(make), "doc_id long, n_shingles long, h1 long, h2 long, coordinates array<long>, lanes array<long>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -133,7 +133,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
                     names=["doc_id", "h1", "h2", "hashes"],
                 )
 
-    return docs.mapInArrow(make, "doc_id long, h1 long, h2 long, hashes array<long>")
+    return docs.mapInArrow(common.giving_back(make), "doc_id long, h1 long, h2 long, hashes array<long>")
 
 
 def matches(percent: int) -> int:
@@ -279,7 +279,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         sets = common.written(again.join(members.select(F.col("id").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"], "left_semi").dropDuplicates(["doc_id", "h1", "h2"]).select(F.col("doc_id").alias("id"), "hashes"), "sets")
         spread = members.join(sets, "id").withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
         spread = spread.select(F.xxhash64("component", F.least("slice", "other"), F.greatest("slice", "other")).alias("block"), (F.col("slice") > F.col("other")).cast("int").alias("side"), "id", "n", "in_group", *packs, "hashes")
-        out = common.written(spread.repartition("block").sortWithinPartitions("block").mapInArrow(_component_blocks(percent), "a long, b long"), "confirmed")
+        out = common.written(spread.repartition("block").sortWithinPartitions("block").mapInArrow(common.giving_back(_component_blocks(percent)), "a long, b long"), "confirmed")
         common.drop(links, parts, members, wanted, sets)
         return out
 
@@ -336,7 +336,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         left = left.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
         right = longer.withColumn("y", slot("rights")).withColumn("x", each("lefts")).withColumn("side", F.lit(1))
         sides = [x.select(F.xxhash64("key", "band", "x", "y").alias("block"), "side", "id", "n", "in_group", *packs) for x in (left, right)]
-        stars = sides[0].unionAll(sides[1]).repartition("block").sortWithinPartitions("block").mapInArrow(_list_blocks(percent), "a long, b long")
+        stars = sides[0].unionAll(sides[1]).repartition("block").sortWithinPartitions("block").mapInArrow(common.giving_back(_list_blocks(percent)), "a long, b long")
         groups = grown(groups, settled(pairs.unionAll(stars), groups))
         common.drop(tried)
         long = lists.where("not whole").select("key")

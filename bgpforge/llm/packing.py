@@ -110,7 +110,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, i
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
             )
 
-    bins = common.written(common.documents(docs).mapInArrow(encode, SCHEMA), "bins")
+    bins = common.written(common.documents(docs).mapInArrow(common.giving_back(encode), SCHEMA), "bins")
     tasks, full, spent = max(1, bins.rdd.getNumPartitions()), [], []
     while True:
         under = bins.where(F.col("size") < capacity - NEARLY)

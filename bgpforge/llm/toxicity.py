@@ -346,7 +346,9 @@ def _score(docs: DataFrame, labels: DataFrame, texts: int, characters: int):
             return pa.array(labelled.logistic(slopes, shift, [[0.0] * 3] * len(text)))
         if "machine" not in held:
             held["machine"] = Machine(marks, weights, noise)
-        return pa.array(labelled.logistic(slopes, shift, _curve(held["machine"].values(x.as_py() for x in text))))
+        found = _curve(held["machine"].values(x.as_py() for x in text))
+        common.give_back()
+        return pa.array(labelled.logistic(slopes, shift, found))
 
     return score
 
