@@ -130,14 +130,16 @@ def disclosing_terms(found: DataFrame, texts: DataFrame, posterior: float = POST
     if likely.isEmpty():
         common.drop(likely, beside, per_entity)
         return spark.createDataFrame([], "key string, term string")
-    held = lambda rows: rows.select("key", F.explode(F.array_distinct(_terms(F.col("__text")))).alias("term"))
-    counts = held(texts.dropDuplicates(["key"])).groupBy("term").agg(F.count("*").alias("n_all"))
+    # Which texts hold likely terms: pairs of these terms only, so no text is shuffled and equal texts fall together by key.
+    every = texts.select("key", F.explode(F.array_distinct(_terms(F.col("__text")))).alias("term"))
+    held = common.written(every.join(likely.select("term").distinct(), "term", "left_semi").distinct(), "held")
+    counts = held.groupBy("term").agg(F.count("*").alias("n_all"))
     inside = found.select(F.explode("inside").alias("term")).groupBy("term").agg(F.count("*").alias("n_in"))
     known = likely.join(counts, "term").join(inside, "term", "left").withColumn("share", F.col("n_et") / (F.col("n_all") - F.coalesce("n_in", F.lit(0))))
     gain = F.log2(F.col("share") * total / F.col("n_e"))
     good = common.written(known.where((F.col("share") >= posterior) & (gain >= bits) & (F.col("n_et") * gain >= tried)).select("term").distinct(), "good")
-    out = common.written(held(texts).join(F.broadcast(good), "term", "left_semi").select("key", "term").distinct(), "disclosing")
-    common.drop(likely, beside, per_entity, good)
+    out = common.written(held.join(good, "term", "left_semi").select("key", "term"), "disclosing")
+    common.drop(likely, beside, per_entity, good, held)
     return out
 
 
@@ -158,11 +160,15 @@ def _found(docs: DataFrame, **thresholds) -> DataFrame:
     found = common.written(found.dropDuplicates(["key"]), "entities")
     terms = disclosing_terms(found, rows.select(F.col("__key").alias("key"), "__text"), **thresholds)
     common.drop(found)
-    words = terms.groupBy("key").agg(F.sort_array(F.collect_set("term")).alias("words"))
+    # Written tables have known sizes: small ones are broadcast by Spark's own rule, and no text is shuffled for them.
+    words = common.written(terms.groupBy("key").agg(F.sort_array(F.collect_set("term")).alias("words")), "words")
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("words", "|"), F.lit(r")(?!\p{L})"))
     hit = rows.select(F.col("__key").alias("key"), "__text").join(words, "key").withColumn("pattern", pattern).withColumn("all", F.regexp_extract_all("__text", F.col("pattern"), F.lit(0)))
     places = hit.select("key", _located(F.col("__text"), F.col("pattern"), F.col("all")).alias("places")).dropDuplicates(["key"])
-    out = with_base_spans(rows).join(places.withColumnRenamed("key", "__key"), "__key", "left")
+    places = common.written(places.withColumnRenamed("key", "__key"), "places")
+    common.drop(words)
+    joined = rows.select("row", "__key").join(places, "__key", "left")
+    out = with_base_spans(joined.withColumn("__text", F.coalesce(F.col("row.text").cast("string"), F.lit(""))))
     base = F.concat(*[f"s_{k}" for k in KINDS])
     apart = F.filter(F.coalesce("places", F.array().cast(f"array<{SPAN}>")), lambda t: ~F.exists(base, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
     return out.withColumn("s_term", apart).drop("places", "__key")
