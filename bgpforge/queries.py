@@ -48,7 +48,7 @@ def bgp_sql(pattern: P.Bgp, select: str | None = None) -> str:
             else:
                 at[t[1:]] = f"t{i}.{c}"
     columns = select or ", ".join(f'{c} AS "{v}"' for v, c in at.items())
-    return f"SELECT {columns} FROM {', '.join(f'triples t{i}' for i in range(len(pattern.patterns)))} WHERE {' AND '.join(where)}"
+    return f"SELECT {columns} FROM {', '.join(f'triples t{i}' for i in range(len(pattern.patterns)))} WHERE {' AND '.join(where) or 'true'}"
 
 
 def with_triples(sql: str, more: str = "", recursive: bool = False) -> str:
@@ -131,8 +131,6 @@ _CONSTANTS = sorted({t for tp in _TPS.values() for t in tp.terms if t[0] not in
 _VALUES = ", ".join(f"('{t}')" for t in _CONSTANTS)
 on_graph("workload_occurrence", with_triples(f"SELECT w.term, COALESCE(cnt, 0) AS cnt FROM (VALUES {_VALUES}) w(term) LEFT JOIN ({_TERMS}) x ON x.term = w.term"), lambda g: S.workload_occurrences(g, _WORKLOAD))
 on_graph("charset_counts", with_triples("SELECT predicates, COUNT(*) AS subjects FROM (SELECT s, string_agg(DISTINCT p, ' ' ORDER BY p) AS predicates FROM triples GROUP BY s) GROUP BY predicates"), S.characteristic_sets)
-_CHARSET = "SELECT CAST(SUM(n * hp) AS BIGINT) AS estimate FROM (SELECT COUNT(*) AS n, 1 AS hp FROM (SELECT s FROM triples WHERE p IN ('<urn:p/placedBy>', '<urn:p/hasPart>', '<urn:p/status>') GROUP BY s HAVING COUNT(DISTINCT p) = 3))"
-on_graph("charset_estimate", with_triples(_CHARSET), lambda g: g.where(F.col("p").isin("<urn:p/placedBy>", "<urn:p/hasPart>", "<urn:p/status>")).groupBy("s").agg(F.countDistinct("p").alias("k")).where("k = 3").agg(F.count("*").alias("estimate")))
 _INDEP = "SELECT a.p AS p1, b.p AS p2, ROUND(CAST(a.triples AS DOUBLE) * b.triples / GREATEST(a.subjects, b.subjects), 6) AS estimate FROM stats a JOIN stats b ON a.p < b.p"
 
 

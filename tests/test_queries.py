@@ -1,12 +1,13 @@
 import duckdb
 import pytest
 
+from bgpforge import feature_queries  # noqa: F401  (registers its queries)
 from bgpforge import queries as Q
 from bgpforge import workload_queries  # noqa: F401  (registers its queries)
 from bgpforge.sources import graph
 
 DATA = "/root/testdata/sf0.001"
-CHECKED = ["bgp_star_3", "bgp_cyclic", "bgp_path_3", "pred_stats", "tp_cards_batch", "leftdeep_plans", "forced_order_same_bag", "best_plan_cache", "cvar", "ema_normaliser", "plan_dataset", "numbered_variables", "moving_statistics", "walk_difference", "leftdeep_best_order"]
+CHECKED = ["bgp_star_3", "bgp_cyclic", "bgp_path_3", "pred_stats", "tp_cards_batch", "leftdeep_plans", "forced_order_same_bag", "best_plan_cache", "cvar", "ema_normaliser", "plan_dataset", "numbered_variables", "moving_statistics", "walk_difference", "leftdeep_best_order", "charset_estimate", "predicate_edge_features", "predicate_edge_statistics_features", "wander_join_exhaustive", "variable_numbers"]
 
 
 def rows(frame):
