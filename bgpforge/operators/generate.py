@@ -39,6 +39,19 @@ def stars(graph: DataFrame, size: int, n: int, seed: int = 0, bound: float = 0.2
     return arms.join(counts, F.col("s") == F.col("star")).select(query, "y")
 
 
+def empty_stars(graph: DataFrame, size: int, n: int, seed: int = 0) -> DataFrame:
+    """(query, y): stars around sampled subjects with one predicate replaced by another of the graph, as far as they then have no solution; y is 0."""
+    picked = sample_terms(graph, "s", n, seed)
+    predicates = graph.select("p").distinct()
+    of = graph.join(picked, F.col("s") == F.col("term")).select("s", "p").distinct()
+    arms = of.groupBy("s").agg(F.sort_array(F.collect_list(F.struct(uniform(seed, "s", "p").alias("u"), "p"))).alias("a")).where(F.size("a") >= size).select("s", F.slice("a.p", 1, size).alias("ps"))
+    other = arms.join(F.broadcast(predicates), ~F.array_contains("ps", F.col("p"))).groupBy("s", "ps").agg(F.min_by("p", uniform(seed + 1, "s", "p")).alias("p"))
+    made = other.select(F.col("s").alias("star"), F.concat(F.array("p"), F.slice("ps", 2, size)).alias("ps"))
+    counts = star_counts(graph, made.select("star", F.transform("ps", lambda p: F.struct(p.alias("p"), F.lit(None).cast("string").alias("o"))).alias("arms")))
+    text = F.array_join(F.transform("ps", lambda p, i: F.concat(F.lit("?s "), p, F.lit(" ?o"), i.cast("string"), F.lit(" ."))), " ")
+    return made.join(counts, "star", "left_anti").select(F.concat(F.lit("SELECT * WHERE { "), text, F.lit(" }")).alias("query"), F.lit(0).cast("long").alias("y"))
+
+
 def star_counts(graph: DataFrame, workload: DataFrame) -> DataFrame:
     """(star, y): solutions over all subjects of stars (star, arms) with arms (p, o), predicates distinct and o null where the object is free.
 

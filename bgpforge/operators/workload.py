@@ -97,10 +97,15 @@ def most_uncertain(rows: DataFrame, share: float, key: str = "query_id", value:
 
 
 def numbered(rows: DataFrame, order: list[str], name: str = "id", parts: int = 16) -> DataFrame:
-    """A number from 0 for each row in a total order. Ranges of the order are counted apart, so that no task holds all rows."""
-    ranged = rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
+    """A number from 0 for each row in a total order. Ranges of the order are counted apart, so that no task holds all rows.
+
+    The ranges' bounds are picked from 64 rows a part with the smallest hash, so both passes over rows, and reruns, split them alike.
+    """
+    sample = rows.select(F.struct(*order).alias("_b")).orderBy(F.xxhash64(*order)).limit(64 * parts)
+    bounds = sample.agg(F.sort_array(F.collect_list("_b")).alias("_s")).select(F.filter("_s", lambda x, i: i % 64 == 63).alias("_bounds"))
+    ranged = rows.crossJoin(F.broadcast(bounds)).withColumn("_part", F.size(F.filter("_bounds", lambda b: b < F.struct(*order)))).drop("_bounds")
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_rows"))
-    # At most `parts` rows.
+    # At most `parts` rows and one.
     starts = sizes.withColumn("_start", F.sum("_rows").over(Window.orderBy("_part")) - F.col("_rows")).select("_part", "_start")
     place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     return ranged.join(F.broadcast(starts), "_part").withColumn(name, (F.col("_start") + place - 1).cast("long")).drop("_part", "_start")

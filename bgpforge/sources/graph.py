@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from bgpforge.operators.workload import numbered
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 #: (predicate, table, subject: kind and column, object: kind and column or None for a literal, whether rows repeat).
@@ -69,7 +71,7 @@ def read_delimited(spark: SparkSession, path: str, separator: str = ",", base: s
 def entity_ids(graph: DataFrame) -> DataFrame:
     """(term, id): ids from 0 in order of term."""
     terms = graph.select(F.col("s").alias("term")).union(graph.select("o")).distinct()
-    return terms.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("id"))
+    return numbered(terms, ["term"])
 
 
 def read_queries(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
@@ -121,11 +123,11 @@ def text_graph(graph: DataFrame, type_predicate: str) -> DataFrame:
     """Lines `t`, `v id labels`, `e src dst label` of a labelled graph; label 0 where a vertex has no type."""
     ids = entity_ids(graph)
     types = graph.where(F.col("p") == type_predicate)
-    labels = types.select("o").distinct().select("o", F.row_number().over(Window.orderBy("o")).alias("label"))
+    labels = numbered(types.select("o").distinct(), ["o"]).select("o", (F.col("id") + 1).alias("label"))
     of = types.join(labels, "o").groupBy("s").agg(F.sort_array(F.collect_set("label")).alias("labels"))
     vertices = ids.join(of, ids.term == of.s, "left").select(F.lit(1).alias("k"), "id", F.concat_ws(" ", F.lit("v"), F.col("id"), F.coalesce(F.array_join("labels", " "), F.lit("0"))).alias("value"))
-    predicates = graph.select("p").distinct().select("p", (F.row_number().over(Window.orderBy("p")) - 1).alias("label"))
+    predicates = numbered(graph.select("p").distinct(), ["p"], "label")
     edges = graph.join(predicates, "p").join(ids.select(F.col("term").alias("s"), F.col("id").alias("a")), "s").join(ids.select(F.col("term").alias("o"), F.col("id").alias("b")), "o")
     edges = edges.select(F.lit(2).alias("k"), F.col("a").alias("id"), F.concat_ws(" ", F.lit("e"), "a", "b", "label").alias("value"))
-    head = graph.sparkSession.range(1).select(F.lit(0).alias("k"), F.lit(0).cast("int").alias("id"), F.lit("t").alias("value"))
+    head = graph.sparkSession.range(1).select(F.lit(0).alias("k"), F.lit(0).cast("long").alias("id"), F.lit("t").alias("value"))
     return head.union(vertices).union(edges).orderBy("k", "id", "value").select("value")

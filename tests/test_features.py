@@ -78,3 +78,57 @@ def test_canonical():
         renamed = [tuple(f"?{other[t[1:]]}" if t[0] == "?" else t for t in x) for x in rng.sample(tps, 5)]
         one, two = (P.canonical(P.Bgp(tuple(P.TriplePattern(*t) for t in x))) for x in (tps, renamed))
         assert one == two
+
+
+def test_numbered_terms(spark, g, monkeypatch):
+    from bgpforge.operators import workload as W
+    from bgpforge.sources import graph as sources
+
+    terms = sorted({t for s, _, o in ROWS for t in (s, o)})
+    assert [(r.term, r.id) for r in sources.entity_ids(g).orderBy("id").collect()] == [(t, i) for i, t in enumerate(terms)]
+    rows = spark.range(5000).selectExpr("id % 700 AS a", "id AS b")
+    got = W.numbered(rows, ["a", "b"], "n", 8).orderBy("n").collect()
+    assert [r.n for r in got] == list(range(5000)) and [(r.a, r.b) for r in got] == sorted((i % 700, i) for i in range(5000))
+    assert W.numbered(rows.limit(0), ["a"]).count() == 0
+    lines = [r.value for r in sources.text_graph(g, "<p1>").collect()]
+    assert lines[0] == "t" and len(lines) == 1 + len(terms) + len(set(ROWS))
+
+
+def test_empty_stars(spark):
+    from bgpforge.operators import generate as G
+
+    graph = spark.createDataFrame([(f"<s{i}>", f"<p{k}>", "<o>") for i in range(20) for k in ((0, 1, 2) if i % 2 else (3, 4, 5))], "s string, p string, o string").cache()
+    got = G.empty_stars(graph, 2, 4).collect()
+    assert len(got) >= 1
+    for r in got:
+        assert r.y == 0 and E.evaluate(graph, P.parse(r.query)).count() == 0
+
+
+def test_epochs(spark, tmp_path):
+    from bgpforge.sources import experiments as R
+
+    for epoch, loss in enumerate([3.0, 1.0, 1.0, 2.0]):
+        R.write_epoch(spark.createDataFrame([(loss,)], "loss double"), str(tmp_path / "run"), epoch)
+    R.write_epoch(spark.createDataFrame([(2.5,)], "loss double"), str(tmp_path / "run"), 3)
+    run = R.read_epochs(spark, str(tmp_path / "run"))
+    assert R.last_epoch(run) == 3 and R.best_epoch(run, "loss") == 2 and R.best_epoch(run, "loss", False) == 0
+    assert run.where("epoch = 3").first().loss == 2.5 and R.best_epoch(run.limit(0), "loss") is None
+
+
+def test_triple_convolution(spark):
+    import numpy as np
+
+    from bgpforge.operators import models as M
+
+    rng = np.random.default_rng(0)
+    x, attr = rng.normal(size=(3, 2)), np.array([[0.3, 1.0], [0.3, -1.0], [0.7, 1.0], [0.7, -1.0]])
+    src, dst = [0, 1, 2, 1], [1, 0, 1, 2]
+    w, v = (rng.normal(size=(5, 2)), rng.normal(size=2)), (rng.normal(size=(2, 4)), rng.normal(size=4))
+    want = 1.5 * x
+    for a, b, e in zip(src, dst, attr, strict=True):
+        first, last = (x[b], x[a]) if e[1] == 1 else (x[a], x[b])
+        want[b] += np.maximum(np.concatenate([first, e[:1], last]) @ w[0] + w[1], 0)
+    assert np.allclose(M.triple_convolution(x, src, dst, attr, w, v, 0.5), want @ v[0] + v[1])
+    graphs = spark.createDataFrame([(1, x.tolist(), src, dst, attr.tolist())], "query_id long, nodes array<array<double>>, edge_src array<long>, edge_dst array<long>, edge_attr array<array<double>>")
+    head = (np.ones(4), np.zeros(1))
+    assert abs(M.scores(graphs, [{"message": w, "out": v, "eps": 0.5}], head).first().score - np.maximum(want @ v[0] + v[1], 0).sum()) < 1e-9
