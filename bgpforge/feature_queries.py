@@ -9,6 +9,7 @@ from bgpforge.operators import features as X
 from bgpforge.operators import statistics as S
 from bgpforge.plans import bgp as P
 from bgpforge.queries import _STATS, _TERMS, bgp, bgp_sql, on_graph, with_triples
+from bgpforge.sources import graph as sources
 
 _BGPS = [bgp(t) for t in ("?o p:placedBy ?c . ?c p:inNation ?n . ?n p:inRegion <urn:region/0> .", '?o p:hasPart ?x . ?o p:status "F" . ?o p:placedBy ?c .', "?a ?q ?b . ?b p:inNation ?a .", '?o p:status "nowhere" .')]
 _ROWS = [(q, k, *tp.terms) for q, b in enumerate(_BGPS) for k, tp in enumerate(b.patterns)]
@@ -91,3 +92,4 @@ def _exported(g):
 
 
 on_graph("estimator_queries", None, _exported)
+on_graph("entity_ids", with_triples("SELECT term, ROW_NUMBER() OVER (ORDER BY term) - 1 AS id FROM (SELECT s AS term FROM triples UNION SELECT o FROM triples)"), sources.entity_ids)
