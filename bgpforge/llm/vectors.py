@@ -17,11 +17,36 @@ def usable(batch, column: int = 0):
                 yield i, v
 
 
-def stack(blobs):
+def matrices(column):
+    """(length, positions, matrix) for every length of the usable vectors of an Arrow column of lists of floats."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    lengths = np.array(pc.fill_null(pc.list_value_length(column), 0))
+    starts, values = np.array(column.offsets)[:-1], np.array(pc.fill_null(column.values, float("nan")))
+    for dim in np.unique(lengths[lengths > 0]).tolist():
+        at = np.nonzero(lengths == dim)[0]
+        matrix = values[starts[at][:, None] + np.arange(dim)]
+        ok = np.isfinite(matrix).all(axis=1) & matrix.any(axis=1)
+        yield dim, at[ok], matrix[ok]
+
+
+def blobs(column):
+    """The vectors of an Arrow column of lists of floats as binaries, null elements as NaN."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    column = pa.concat_arrays([column])
+    values = np.ascontiguousarray(np.array(pc.fill_null(column.values, float("nan"))))
+    return pa.Array.from_buffers(pa.binary(), len(column), [None, pa.py_buffer((np.array(column.offsets, "i8") * values.itemsize).astype("i4")), pa.py_buffer(values)])
+
+
+def stack(blobs, kind: str = "<f8"):
     """Binary vectors of one length as a matrix."""
     import numpy as np
 
-    return np.frombuffer(b"".join(blobs), "<f8").reshape(len(blobs), -1)
+    return np.frombuffer(b"".join(blobs), kind).reshape(len(blobs), -1)
 
 
 def unit(matrix):

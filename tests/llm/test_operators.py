@@ -121,6 +121,46 @@ def test_embedding_dedup(spark, points):
     assert got[204]["component_id"] == got[0]["component_id"]
 
 
+@pytest.fixture(scope="module")
+def scattered():
+    """Vectors without clusters in ten labels, some with near copies in chains, some with exact ones."""
+    draw = np.random.default_rng(11)
+    rows = [(i, draw.standard_normal(64), i % 10) for i in range(2000)]
+    for i in range(0, 400, 4):
+        at = rows[i]
+        for k in range(3):
+            at = (len(rows), at[1] + 0.3 * draw.standard_normal(64) * (k != 1), at[2])
+            rows.append(at)
+    return [(i, [float(x) for x in v.astype("f4")], c) for i, v, c in rows]
+
+
+@pytest.mark.parametrize("bounds", [{}, {"cell": 40, "block": 30}, {"cell": 30, "block": 500}])
+def test_embedding_dedup_of_scattered_vectors(spark, scattered, bounds):
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(spark.createDataFrame(scattered, "vec_id long, embedding array<float>, label int"), 0.93, **bounds).collect()}
+    x = np.array([v for _, v, _ in scattered])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    of = np.array([c for _, _, c in scattered])
+    linked = (x @ x.T >= 0.93) & (of[:, None] == of[None])
+    least, seen = np.arange(len(x)), None
+    while seen is None or (seen != least).any():
+        seen, least = least, np.where(linked, least[None], len(x)).min(axis=1)
+    assert got == {i: (int(linked[i].sum()) - 1, int(least[i])) for i in range(len(x))}
+
+
+def test_embedding_dedup_sends_scattered_vectors_once(spark, scattered):
+    """Labels that fit a cell are not cut: what is shuffled stays near the size of the vectors, whatever the number of labels."""
+    table = spark.createDataFrame(scattered, "vec_id long, embedding array<float>, label int")
+    store, bus = (getattr(spark.sparkContext._jsc.sc(), x)() for x in ("statusStore", "listenerBus"))
+
+    def shuffled():
+        bus.waitUntilEmpty()
+        return sum(store.executorList(True).apply(i).totalShuffleWrite() for i in range(store.executorList(True).size()))
+
+    before = shuffled()
+    embedding_dedup.near_duplicates(table, 0.93, cell=250).count()
+    assert shuffled() - before < 2 * 256 * len(scattered)
+
+
 def test_neighbours(spark, points):
     table = spark.createDataFrame(points, "vec_id long, embedding array<double>, label int")
     got = neighbours.search(table, F.col("vec_id") % 10 == 0, rows=50, queries=5).toPandas()
