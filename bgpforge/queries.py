@@ -87,9 +87,10 @@ def shared(name: str, body: str) -> None:
     query(name, with_triples(body))(run)
 
 
-# Patterns and joins.
+# Patterns and joins. The region comes first where pairs of subjects in every nation would be made before it.
+ORDERS = {"bgp_object_star": (2, 0, 1)}
 for _name, _text in PATTERNS.items():
-    on_graph(_name, with_triples(bgp_sql(bgp(_text))), lambda g, b=bgp(_text): E.evaluate(g, b))
+    on_graph(_name, with_triples(bgp_sql(bgp(_text))), lambda g, b=bgp(_text), order=ORDERS.get(_name, ()): E.evaluate_order(g, b, order))
 on_graph("flagship_count", with_triples(bgp_sql(bgp(FLAGSHIP), "COUNT(*) AS n")), lambda g: E.evaluate(g, bgp(FLAGSHIP)).agg(F.count("*").alias("n")))
 _PATH = bgp(SEARCH)
 

@@ -1,9 +1,11 @@
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from bgpforge import feature_queries  # noqa: F401  (registers its queries)
 from bgpforge import queries as Q
 from bgpforge import workload_queries  # noqa: F401  (registers its queries)
+from bgpforge.operators import evaluate as E
 from bgpforge.sources import graph
 
 DATA = "/root/testdata/sf0.001"
@@ -31,7 +33,6 @@ def test_golden(spark):
 
 def test_stars_count_over_the_graph(spark):
     """y is the number of solutions of the query itself, at every subject."""
-    from bgpforge.operators import evaluate as E
     from bgpforge.operators import generate as G
     from bgpforge.plans import bgp as P
 
@@ -43,6 +44,20 @@ def test_stars_count_over_the_graph(spark):
         assert r["y"] == E.evaluate(g, P.parse(r["query"], {})).count()
 
 
+def test_object_star_makes_no_pairs_outside_its_region(spark):
+    """The pairs of subjects are made after the region is known, in many tasks, and are those of SQL."""
+    db = duckdb.connect()
+    for t in graph.TABLES:
+        db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    got = Q.QUERIES["bgp_object_star"](spark, DATA)
+    assert rows(got.toPandas()) == rows(db.sql(Q.SQL["bgp_object_star"]).df())
+    once = Q.QUERIES["bgp_object_star"](spark, DATA)
+    n = once._jdf.queryExecution().executedPlan().execute().count()
+    assert n == got.count() and max(E.join_rows(once)) == n
+    tasks = got.select(F.spark_partition_id().alias("k")).groupBy("k").count()
+    assert tasks.count() > 5 and tasks.agg(F.max("count")).first()[0] < n / 4
+
+
 def test_ntriples_round_trip(spark, tmp_path):
     g = spark.createDataFrame([("<a>", "<p>", '"x y"'), ("<a>", "<p>", "<b>")], "s string, p string, o string")
     graph.write_ntriples(g, str(tmp_path / "g"))
