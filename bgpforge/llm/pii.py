@@ -21,6 +21,8 @@ LETTERS = 3
 #: A term discloses an entity if at least this share of the texts that hold it hold the entity too, and if it tells this many bits of it.
 POSTERIOR, BITS = 0.5, 3.0
 SPAN = "struct<start:int,end:int,value:string>"
+#: Slots for each key in a table of marks, and slots at most.
+SLOTS, MOST = 16, 1 << 23
 
 
 def _located(text: Column, pattern: Column, matches: Column) -> Column:
@@ -109,6 +111,25 @@ def _entities(kind: str):
     return entities
 
 
+def _apart(rows: DataFrame, keys: DataFrame, key: str = "key") -> tuple[DataFrame, DataFrame]:
+    """(some, rest) of rows: some holds every row whose key is in keys (key), and few others. No row is shuffled.
+
+    Marks in a table of slots by the keys' hashes decide, whose size is bounded; where it is crowded, some holds more other rows.
+    """
+    spark = rows.sparkSession
+    slots = 1 << 10
+    n = keys.count()
+    while slots < min(MOST, SLOTS * n):
+        slots *= 2
+    marks = bytearray(slots)
+    slot = F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
+    for r in keys.select(F.xxhash64("key").alias("h")).select(F.pmod("h", F.lit(slots)).cast("int").alias("slot")).distinct().toLocalIterator():
+        marks[r["slot"]] = 1
+    marked = rows.crossJoin(F.broadcast(spark.createDataFrame([(bytes(marks),)], "__marks binary")))
+    held = F.substring("__marks", slot + 1, F.lit(1)) == F.lit(b"\x01")
+    return marked.where(held).drop("__marks"), marked.where(~held).drop("__marks")
+
+
 def disclosing_terms(found: DataFrame, texts: DataFrame, posterior: float = POSTERIOR, bits: float = BITS) -> DataFrame:
     """(key, term): terms that reveal an entity, with the key of every text that holds them.
 
@@ -119,7 +140,8 @@ def disclosing_terms(found: DataFrame, texts: DataFrame, posterior: float = POST
     more than chance: n_et * gain >= log2 of the number of terms that are tried. Exact bounds first leave out terms that cannot pass.
     """
     spark = texts.sparkSession
-    total = texts.select("key").distinct().count()
+    copies = common.written(texts.groupBy("key").agg(F.count("*").alias("n")).groupBy((F.col("n") > 1).alias("many"), F.when(F.col("n") > 1, F.col("key")).alias("key")).agg(F.count("*").alias("n")), "copies")
+    total = copies.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     per_entity = common.written(found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") > 1), "classes")
     beside = common.written(found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_beside")), "beside")
     tried = F.log2(F.lit(float(max(1, beside.count()))))
@@ -128,16 +150,17 @@ def disclosing_terms(found: DataFrame, texts: DataFrame, posterior: float = POST
     both = pairs.groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_et")).where((F.col("n_et") > 1) & (F.col("n_et") * prior >= tried))
     likely = common.written(both.join(beside, "term").where(F.col("n_et") >= posterior * F.col("n_beside")).select("entity", "n_e", "term", "n_et"), "likely")
     if likely.isEmpty():
-        common.drop(likely, beside, per_entity)
+        common.drop(likely, beside, per_entity, copies)
         return spark.createDataFrame([], "key string, term string")
     held = lambda rows: rows.select("key", F.explode(F.array_distinct(_terms(F.col("__text")))).alias("term"))
-    counts = held(texts.dropDuplicates(["key"])).groupBy("term").agg(F.count("*").alias("n_all"))
+    repeated, single = _apart(texts, copies.where("many").select("key"))
+    counts = held(single.unionAll(repeated.dropDuplicates(["key"]))).groupBy("term").agg(F.count("*").alias("n_all"))
     inside = found.select(F.explode("inside").alias("term")).groupBy("term").agg(F.count("*").alias("n_in"))
     known = likely.join(counts, "term").join(inside, "term", "left").withColumn("share", F.col("n_et") / (F.col("n_all") - F.coalesce("n_in", F.lit(0))))
     gain = F.log2(F.col("share") * total / F.col("n_e"))
     good = common.written(known.where((F.col("share") >= posterior) & (gain >= bits) & (F.col("n_et") * gain >= tried)).select("term").distinct(), "good")
     out = common.written(held(texts).join(F.broadcast(good), "term", "left_semi").select("key", "term").distinct(), "disclosing")
-    common.drop(likely, beside, per_entity, good)
+    common.drop(likely, beside, per_entity, good, copies)
     return out
 
 
@@ -158,18 +181,20 @@ def _found(docs: DataFrame, **thresholds) -> DataFrame:
     found = common.written(found.dropDuplicates(["key"]), "entities")
     terms = disclosing_terms(found, rows.select(F.col("__key").alias("key"), "__text"), **thresholds)
     common.drop(found)
-    # Written tables have known sizes: small ones are broadcast by Spark's own rule, and no text is shuffled for them.
     words = common.written(terms.groupBy("key").agg(F.sort_array(F.collect_set("term")).alias("words")), "words")
+    common.drop(terms)
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("words", "|"), F.lit(r")(?!\p{L})"))
-    hit = rows.select(F.col("__key").alias("key"), "__text").join(words, "key").withColumn("pattern", pattern).withColumn("all", F.regexp_extract_all("__text", F.col("pattern"), F.lit(0)))
+    # Only texts that hold terms, and few others, are shuffled.
+    near, far = _apart(rows, words.select("key"), "__key")
+    hit = near.select(F.col("__key").alias("key"), "__text").join(words, "key").withColumn("pattern", pattern).withColumn("all", F.regexp_extract_all("__text", F.col("pattern"), F.lit(0)))
     places = hit.select("key", _located(F.col("__text"), F.col("pattern"), F.col("all")).alias("places")).dropDuplicates(["key"])
     places = common.written(places.withColumnRenamed("key", "__key"), "places")
     common.drop(words)
-    joined = rows.select("row", "__key").join(places, "__key", "left")
+    joined = near.select("row", "__key").join(places, "__key", "left").select("row", "places").unionAll(far.select("row", F.lit(None).cast(places.schema["places"].dataType).alias("places")))
     out = with_base_spans(joined.withColumn("__text", F.coalesce(F.col("row.text").cast("string"), F.lit(""))))
     base = F.concat(*[f"s_{k}" for k in KINDS])
     apart = F.filter(F.coalesce("places", F.array().cast(f"array<{SPAN}>")), lambda t: ~F.exists(base, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    return out.withColumn("s_term", apart).drop("places", "__key")
+    return out.withColumn("s_term", apart).drop("places")
 
 
 def find(docs: DataFrame, **thresholds) -> DataFrame:

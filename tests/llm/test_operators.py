@@ -173,6 +173,16 @@ def test_neighbours(spark, points):
     assert hits >= 0.95 * total and neighbours.search(table.where("vec_id < 0"), F.lit(True)).count() == 0
 
 
+def test_rows_with_keys_are_set_apart_without_a_shuffle(spark):
+    rows = spark.range(3000).select(F.md5(F.col("id").cast("string")).alias("key"), "id")
+    keys = rows.where("id % 100 = 7").select("key")
+    some, rest = pii._apart(rows, keys)
+    a, b = ([r["id"] for r in x.collect()] for x in (some, rest))
+    assert sorted(a + b) == list(range(3000)) and {i for i in range(3000) if i % 100 == 7} <= set(a) and len(a) < 300
+    assert all("hashpartitioning" not in x._jdf.queryExecution().executedPlan().toString() for x in (some, rest))
+    assert pii._apart(rows, keys.limit(0))[0].count() == 0
+
+
 def test_pii(spark):
     text = "ü write a.b@c.de, 1.2.3.4 or 999.1.1.1, 4111 1111 1111 1111 and 4111111111111112, +1 (242) 555-3475 x@y z_q@w.org"
     got = pii.digest(docs(spark, [(1, text, ""), (2, None, ""), (None, "", "")])).orderBy(F.desc("spans")).collect()
