@@ -140,10 +140,22 @@ def give_back() -> None:
         trim(0)
 
 
-def giving_back(make):
-    """The function of batches `make`, followed by `give_back`."""
+#: What this Python worker remembers from task to task, by operator.
+_remembered: dict[str, dict] = {}
+
+
+def remembered(operator: str | None = None) -> dict:
+    """What this Python worker remembers for an operator; what it remembers for others is dropped, as later stages use the worker again."""
+    for other in [x for x in _remembered if x != operator]:
+        del _remembered[other]
+    return _remembered.setdefault(operator, {}) if operator else {}
+
+
+def giving_back(make, operator: str | None = None):
+    """The function of batches `make`, followed by `give_back`; it begins without what the worker remembers for other operators."""
 
     def run(batches):
+        remembered(operator)
         yield from make(batches)
         give_back()
 

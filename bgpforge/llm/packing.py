@@ -110,7 +110,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, i
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
             )
 
-    bins = common.written(common.documents(docs).mapInArrow(common.giving_back(encode), SCHEMA), "bins")
+    bins = common.written(common.documents(docs).mapInArrow(common.giving_back(encode, "tokens"), SCHEMA), "bins")
     tasks, full, spent = max(1, bins.rdd.getNumPartitions()), [], []
     while True:
         under = bins.where(F.col("size") < capacity - NEARLY)
@@ -122,14 +122,14 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, i
             full.append(under)
             break
         spent.append(bins)
-        bins = common.written(under.repartition(to).mapInArrow(merge, SCHEMA), "bins")
+        bins = common.written(under.repartition(to).mapInArrow(common.giving_back(merge), SCHEMA), "bins")
         tasks = to
     last = full[0]
     for x in full[1:]:
         last = last.unionAll(x)
     numbered = common.written(last.withColumn("sequence_id", F.monotonically_increasing_id()), "sequences")
     common.drop(bins, *spent)
-    return numbered.mapInArrow(open_out, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return numbered.mapInArrow(common.giving_back(open_out), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def _batches(found, pa, rows: int = 20_000):

@@ -2,7 +2,7 @@
 
 A text is cut at blanks that stand alone between two characters which are no white space. No token of the byte-level
 vocabulary spans such a blank (white space only begins a token), and special strings hold none, so the parts can be
-encoded apart. Equal parts are encoded once for each worker; a bounded table remembers them.
+encoded apart. A part that a worker has seen before is remembered in a bounded table.
 """
 
 from __future__ import annotations
@@ -12,12 +12,16 @@ import re
 import zlib
 from array import array
 
+from . import common
+
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Pieces of parts that can be encoded apart as well, as letters never share a token with what follows them, and a lone line feed none with anything.
 _PIECE = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[.,;:!?|*&%$#()\"-]+\n?|\n")
 _ODD = re.compile(r"\s |  | \s")
-#: Entries that a worker remembers; beyond it the table starts anew.
-REMEMBERED = 1_000_000
+#: Entries that a worker remembers; beyond it the table starts anew. Parts of more than LONGEST characters are not remembered.
+REMEMBERED, LONGEST = 400_000, 256
+#: Slots, a power of two, that tell by a part's hash whether it was seen: most parts come once and need no entry.
+SLOTS = 1 << 21
 #: Characters of one step: longer texts go through in several steps.
 STEP = 1 << 20
 
@@ -37,19 +41,33 @@ class _Known(dict):
         super().__init__()
         self.model, self.words = model, model.model
         self.byte = byte_signs()
+        self.seen = bytearray(SLOTS)
+
+    def clear(self) -> None:
+        super().clear()
+        self.seen = bytearray(SLOTS)
 
     def __missing__(self, part: str) -> bytes:
-        pieces = _PIECE.findall(part)
+        word = part[1:] if part[0] == " " else part
+        pieces = [part] if word.isascii() and word.isalpha() else _PIECE.findall(part)
         if len(pieces) == 1 and len(pieces[0]) == len(part):
             # One run of letters, or of signs: a single word of the vocabulary's model.
-            out = array("I", [x.id for x in self.words.tokenize("".join([self.byte[b] for b in part.encode()]))]).tobytes() if part[-1:] != "\n" else self._encode(part)
+            out = array("I", [x.id for x in self.words.tokenize(self._signs(part))]).tobytes() if part[-1:] != "\n" else self._encode(part)
         elif len(pieces) > 1 and sum(map(len, pieces)) == len(part) and "\n\n" not in part:
             out = b"".join([self[x] for x in pieces])
         else:
             out = self._encode(part)
-        self[part] = out
+        slot = hash(part) & (SLOTS - 1)
+        if not self.seen[slot]:
+            self.seen[slot] = 1
+        elif len(part) <= LONGEST:
+            self[part] = out
         return out
 
+    def _signs(self, part: str) -> str:
+        """The signs of the bytes of a run of letters or signs, without line feeds."""
+        return part.replace(" ", self.byte[0x20]) if part.isascii() else "".join([self.byte[b] for b in part.encode()])
+
     def _encode(self, part: str) -> bytes:
         return array("I", self.model.encode_batch_fast([part], add_special_tokens=False)[0].ids).tobytes()
 
@@ -143,14 +161,12 @@ def _flush(held, encoder: Encoder):
         yield from zip([i for i, _ in held], encoder.ids([x for _, x in held]), strict=True)
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """One for each worker and file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """One for each worker and file, until the worker turns to another operator."""
+    encoders = common.remembered("tokens")
+    if path not in encoders:
+        encoders[path] = Encoder(path)
+    return encoders[path]
 
 
 def crc(data: bytes) -> int:

@@ -344,6 +344,7 @@ def _score(docs: DataFrame, labels: DataFrame, texts: int, characters: int):
 
         if weights is None:
             return pa.array(labelled.logistic(slopes, shift, [[0.0] * 3] * len(text)))
+        common.remembered()
         if "machine" not in held:
             held["machine"] = Machine(marks, weights, noise)
         found = _curve(held["machine"].values(x.as_py() for x in text))

@@ -47,6 +47,30 @@ def test_parts_encode_as_the_whole():
     assert [x for _, x in tokens.by_bytes(texts, enc)] == [np.array(x.ids, "<u4").tobytes() for x in enc.model.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_a_worker_remembers_one_operator():
+    """Workers are used again by later stages: what one remembers for an operator goes when it turns to another."""
+    enc = tokens.encoder(PATH)
+    assert list(common.giving_back(iter, "tokens")([1])) == [1] and tokens.encoder(PATH) is enc
+    assert list(common.giving_back(iter)([1])) == [1] and tokens.encoder(PATH) is not enc
+
+
+@pytest.mark.parametrize("bounds", [{}, {"REMEMBERED": 20, "SLOTS": 16}, {"LONGEST": 3}])
+def test_parts_that_come_once_are_not_remembered(monkeypatch, bounds):
+    for k, v in bounds.items():
+        monkeypatch.setattr(tokens, k, v)
+    draw, enc = random.Random(4), tokens.Encoder(PATH)
+    words = ["".join(draw.choice("abcdeé,.0漢") for _ in range(draw.randint(1, 9))) for _ in range(3000)]
+    texts = [" ".join(words[i : i + 100]) for i in range(0, 3000, 100)]
+    whole = [np.array(x.ids, "<u4").tobytes() for x in enc.model.encode_batch(texts, add_special_tokens=False)]
+    held = []
+    for _ in range(3):
+        assert [y for x in texts for y in enc.ids([x])] == whole
+        held.append(len(enc.known))
+    assert held[0] < 1500
+    if not bounds:
+        assert held[0] < held[1] == held[2]
+
+
 def test_token_counts(spark, odd):
     out = sorted(token_counts.token_counts(docs(spark, odd), PATH).collect(), key=str)
     assert out == sorted([(i, len((t or "").encode()), n := len(reference(t)) // 4, n > 512) for i, t, _ in odd], key=str)
