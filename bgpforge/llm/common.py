@@ -140,6 +140,16 @@ def give_back() -> None:
         trim(0)
 
 
+def collect(spark: SparkSession) -> None:
+    """Let the JVM of every executor collect its garbage and give freed heap back to the system.
+
+    A JVM keeps the heap that its largest stage took, beside the Python workers of later stages. The collections run in tasks, two for each slot;
+    Spark deals them to free slots, so an executor may be left out where others are faster, which costs memory only.
+    """
+    n = 2 * spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')").alias("gc"), "id").write.format("noop").mode("overwrite").save()
+
+
 #: What this Python worker remembers from task to task, by operator.
 _remembered: dict[str, dict] = {}
 

@@ -36,7 +36,17 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokens.default_path())
 
 
-STAGES = [("toxicity", reject_toxic), ("minhash near-dedup", drop_near_copies), ("pii", redact), ("mixing", mix), ("packing", pack)]
+def _afresh(stage):
+    """The stage, begun with executors that have given back the memory which the stages before it took."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.collect(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES = [(name, _afresh(stage)) for name, stage in (("toxicity", reject_toxic), ("minhash near-dedup", drop_near_copies), ("pii", redact), ("mixing", mix), ("packing", pack))]
 
 #: SQL expresses neither classifier nor tokenizer.
 ORACLE_SQL = None

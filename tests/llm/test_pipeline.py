@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+from bgpforge.llm import common
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, row string"
 
@@ -40,3 +41,21 @@ def test_stages_on_empty_tables(spark, tmp_path):
     docs.write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_stages_begin_with_collected_executors(spark, monkeypatch):
+    """A JVM keeps the heap of its largest stage beside the Python workers of later ones, unless it is told to collect."""
+    beans = list(spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans())
+    full = lambda: sum(x.getCollectionCount() for x in beans if "Young" not in x.getName())
+    before = full()
+    common.collect(spark)
+    assert full() > before
+    called = []
+    monkeypatch.setattr(common, "collect", called.append)
+    for name in ("reject", "keep_one", "redact", "repeat", "pack"):
+        for module in (corpus_pipeline.toxicity, corpus_pipeline.minhash_dedup, corpus_pipeline.pii, corpus_pipeline.mixing, corpus_pipeline.packing):
+            monkeypatch.setattr(module, name, lambda docs, *a, **b: docs, raising=False)
+    docs = spark.createDataFrame([(1, "a", "s")], "doc_id long, text string, source string")
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES, 1):
+        stage(spark, docs, "/root/testdata/sf0.001")
+        assert len(called) == n
