@@ -141,13 +141,46 @@ def give_back() -> None:
 
 
 def collect(spark: SparkSession) -> None:
-    """Let the JVM of every executor collect its garbage and give freed heap back to the system.
+    """Let the JVM of every executor collect its garbage and give freed heap back to the system, and let the driver give back what it has freed.
 
     A JVM keeps the heap that its largest stage took, beside the Python workers of later stages. The collections run in tasks, two for each slot;
     Spark deals them to free slots, so an executor may be left out where others are faster, which costs memory only.
     """
     n = 2 * spark.sparkContext.defaultParallelism
     spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')").alias("gc"), "id").write.format("noop").mode("overwrite").save()
+    collect_driver(spark)
+
+
+def collect_driver(spark: SparkSession) -> bool:
+    """Let the driver's Python and JVM give freed memory back to the system; whether the JVM could trim what it holds beside its heap.
+
+    Compilers take hundreds of MB beside the heap, which the C library keeps once they are freed. JVMs that cannot trim it keep it, which costs memory only.
+    """
+    import gc
+
+    from py4j.protocol import Py4JError
+
+    gc.collect()
+    give_back()
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    jvm.java.lang.System.gc()
+
+    def array(kind, *values):
+        out = gateway.new_array(kind, len(values))
+        for i, x in enumerate(values):
+            out[i] = x
+        return out
+
+    try:
+        # The server's own class is closed to reflection, the interface is not.
+        kind, found = jvm.java.lang.Class, jvm.java.lang.Class.forName
+        types = array(kind, *map(found, ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")))
+        invoke = found("javax.management.MBeanServerConnection").getMethod("invoke", types)
+        command = array(jvm.java.lang.Object, jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap", None, None)
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), command)
+    except Py4JError:
+        return False
+    return True
 
 
 #: What this Python worker remembers from task to task, by operator.

@@ -23,15 +23,20 @@ def training(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remai
     return docs.where("doc_id is not null and text is not null").join(F.broadcast(some[0].unionAll(some[1])), "doc_id").select("doc_id", "text", "y")
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int, most: int, characters: int) -> dict[int, list[str]]:
-    """The texts of each label to learn from: those with the smallest hash of doc_id, a bounded, repeatable sample.
+def drawn(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int, most: int, characters: int) -> DataFrame:
+    """(y, draw, text) of the texts of each label to learn from: those with the smallest `draw`, a hash of doc_id, a bounded, repeatable sample.
 
-    At most `most` of each label, and as many as begin within the first `characters` of their characters together, the bound of what the driver gets.
+    At most `most` of each label, and as many as begin within the first `characters` of their characters together.
     """
     rows = training(docs, labels, label, modulus, remainder, most).select("y", "text", F.xxhash64("doc_id").alias("draw"), F.length("text").alias("size"))
     # A window over 2 x most rows at most.
     before = F.sum("size").over(Window.partitionBy("y").orderBy("draw", "text").rowsBetween(Window.unboundedPreceding, -1))
-    found = rows.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < characters).orderBy("draw", "text").select("y", "text").collect()
+    return rows.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < characters).select("y", "draw", "text")
+
+
+def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int, most: int, characters: int) -> dict[int, list[str]]:
+    """The texts of each label to learn from, in the order of their draw (see `drawn`, whose bounds are those of what the driver gets)."""
+    found = drawn(docs, labels, label, modulus, remainder, most, characters).orderBy("draw", "text").select("y", "text").collect()
     return {y: [r["text"] for r in found if r["y"] == y] for y in (0, 1)}
 
 

@@ -327,15 +327,41 @@ def learn(toxic: list[str], clean: list[str]):
 
 
 def fit(docs: DataFrame, labels: DataFrame, texts: int = TEXTS, characters: int = CHARACTERS):
-    """`learn` on labelled rows of docs: at most `texts` of each kind and about `characters` characters of each (see `labelled.sample`)."""
-    found = labelled.sample(docs, labels, "toxic", MODULUS, REMAINDER, texts, characters)
-    return learn(found[1], found[0])
+    """((marks, weights, noise) or None, slopes, shift): `learn` on labelled rows of docs.
+
+    These are at most `texts` of each kind and about `characters` characters of each (see `labelled.drawn`). One task learns from them,
+    as tables of words take hundreds of MB; the driver gets what was learned only.
+    """
+    rows = labelled.drawn(docs, labels, "toxic", MODULUS, REMAINDER, texts, characters)
+
+    def teach(batches):
+        import pickle
+
+        import pyarrow as pa
+
+        found = sorted(x for b in batches for x in zip(*(b.column(k).to_pylist() for k in ("draw", "text", "y")), strict=True))
+        out = _told(learn(*([text for _, text, y in found if y == kind] for kind in (1, 0))))
+        del found
+        yield pa.RecordBatch.from_pydict({"learned": pa.array([pickle.dumps(out)], pa.binary())})
+
+    got = rows.coalesce(1).mapInArrow(common.giving_back(teach), "learned binary").collect()
+    if not got:
+        return _told(learn([], []))
+    import pickle
+
+    return pickle.loads(got[0]["learned"])
+
+
+def _told(learned):
+    """What is needed to build what was learned again."""
+    machine, slopes, shift = learned
+    return machine and (machine.marks, machine.weights, machine.noise), slopes, shift
 
 
 def _score(docs: DataFrame, labels: DataFrame, texts: int, characters: int):
     """A function of a text column: its score. Only the texts pass through the workers."""
     machine, slopes, shift = fit(docs, labels, texts, characters)
-    marks, weights, noise = (machine.marks, machine.weights, machine.noise) if machine else ([], None, 1.0)
+    marks, weights, noise = machine or ([], None, 1.0)
     held: dict = {}
 
     @F.arrow_udf("double")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bgpforge.llm import common, embedding_dedup, minhash_dedup, mixing, neighbours, packing, pii, quality, tables, token_counts, tokens, toxicity
+from bgpforge.llm import common, embedding_dedup, labelled, minhash_dedup, mixing, neighbours, packing, pii, quality, tables, token_counts, tokens, toxicity
 
 DOCS = "doc_id long, text string, source string, key string"
 PATH = tokens.default_path()
@@ -358,6 +358,20 @@ def test_toxicity_of_languages_and_spellings(spark):
     assert toxicity.reject(empty(spark), labels).count() == 0
 
 
+def test_toxicity_is_not_learned_in_the_driver(spark, monkeypatch):
+    """Its tables of words take hundreds of MB beside the driver's JVM: one task learns, also from nothing."""
+    rows = [(i, " ".join(words(6, 10 * i + k) + (" qoxpwvz" if i % 2 else "") for k in range(4)), "a") for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    found = labelled.sample(docs(spark, rows), labels, "toxic", toxicity.MODULUS, toxicity.REMAINDER, 30, 10_000)
+    machine, *curve = toxicity.learn(found[1], found[0])
+    monkeypatch.setattr(toxicity, "train", None)  # the workers have their own
+    (marks, weights, noise), *same = toxicity.fit(docs(spark, rows), labels, 30, 10_000)
+    assert marks == machine.marks and np.allclose(weights, machine.weights) and np.isclose(noise, machine.noise)
+    assert np.allclose(same[0], curve[0]) and np.isclose(same[1], curve[1])
+    monkeypatch.undo()
+    assert toxicity.fit(empty(spark), labels) == (None, [0.0] * 3, 0.0)
+
+
 def components_by_brute_force(rows, width, percent):
     """{doc_id: (n_shingles, component)} from all pairs' full sets."""
     sets = {}

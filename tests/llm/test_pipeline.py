@@ -59,3 +59,12 @@ def test_stages_begin_with_collected_executors(spark, monkeypatch):
     for n, (_, stage) in enumerate(corpus_pipeline.STAGES, 1):
         stage(spark, docs, "/root/testdata/sf0.001")
         assert len(called) == n
+
+
+def test_stages_begin_with_a_driver_that_gave_back(spark, monkeypatch):
+    """What the driver's Python and its JVM's compilers have freed would stay with it beside later stages."""
+    called = []
+    monkeypatch.setattr(common, "give_back", lambda: called.append(1))
+    common.collect(spark)
+    assert called == [1]
+    assert common.collect_driver(spark) or int(spark._jvm.java.lang.System.getProperty("java.version").split(".")[0]) < 17
