@@ -33,7 +33,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = common.scratch(spark, "tables")
     manifest = tables.write_tables(_table(spark, sf_dir, "documents"), tokens.default_path(), END_OF_DOCUMENT, folder)
-    return tables.read_tables(spark, manifest).drop("ids")
+    return tables.read_tables(spark, manifest, with_ids=False)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

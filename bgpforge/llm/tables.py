@@ -206,8 +206,8 @@ def write_tables(docs: DataFrame, tokenizer: str, end: int, folder: str) -> Data
     return common.written(ordered.mapInArrow(write, "part int, file int, path string, first_id long, docs long, ids long"), "manifest")
 
 
-def read_tables(spark: SparkSession, manifest: DataFrame) -> DataFrame:
-    """Read shards back: a row (doc_id, start, n_tokens, ids_crc32, ids) for each document, start counting over all shards.
+def read_tables(spark: SparkSession, manifest: DataFrame, with_ids: bool = True) -> DataFrame:
+    """Read shards back: a row (doc_id, start, n_tokens, ids_crc32, ids) for each document, start counting over all shards; without ids on demand.
 
     The driver takes the manifest's one row for each shard file (SHARD bytes of stored ids, so few) to place the shards.
     """
@@ -226,16 +226,16 @@ def read_tables(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                 with files.open_input_file(name) as source:
                     held, size = [], 0
                     for doc_id, at, ids in Reader(source, source.size()):
-                        held.append((doc_id, before + at, len(ids) >> 2, tokens.crc(ids), ids))
-                        size += len(ids)
+                        held.append((doc_id, before + at, len(ids) >> 2, tokens.crc(ids), *([ids] if with_ids else [])))
+                        size += len(ids) if with_ids else 64
                         if size >= 1 << 22:
-                            yield _rows(held, pa)
+                            yield _rows(held, pa, with_ids)
                             held, size = [], 0
-                    yield _rows(held, pa)
+                    yield _rows(held, pa, with_ids)
 
-    return spark.range(0, len(shards), 1, max(1, len(shards))).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return spark.range(0, len(shards), 1, max(1, len(shards))).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
-def _rows(held, pa):
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in held], t) for k, t in enumerate(kinds)], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+def _rows(held, pa, with_ids):
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: 4 + with_ids]
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in held], t) for k, t in enumerate(kinds)], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: 4 + with_ids])

@@ -71,6 +71,13 @@ def test_parts_that_come_once_are_not_remembered(monkeypatch, bounds):
         assert held[0] < held[1] == held[2]
 
 
+def test_tables_without_ids(spark, odd, tmp_path):
+    manifest = tables.write_tables(docs(spark, odd), PATH, 2, f"file://{tmp_path}/t")
+    got = tables.read_tables(spark, manifest, with_ids=False)
+    assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+    assert sorted(got.collect(), key=str) == sorted(tables.read_tables(spark, manifest).drop("ids").collect(), key=str)
+
+
 def test_token_counts(spark, odd):
     out = sorted(token_counts.token_counts(docs(spark, odd), PATH).collect(), key=str)
     assert out == sorted([(i, len((t or "").encode()), n := len(reference(t)) // 4, n > 512) for i, t, _ in odd], key=str)
